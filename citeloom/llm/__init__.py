@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["leakage"]
+_NAMES = ["leakage", "sentences"]
 
 
 def query_modules() -> list:
