@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["leakage", "sentences", "mixing"]
+_NAMES = ["leakage", "sentences", "mixing", "residue"]
 
 
 def query_modules() -> list:
