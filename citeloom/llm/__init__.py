@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["leakage", "sentences", "mixing", "residue"]
+_NAMES = ["leakage", "sentences", "mixing", "residue", "near_duplicates", "cross_split"]
 
 
 def query_modules() -> list:
