@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["leakage", "sentences", "mixing", "residue", "near_duplicates", "cross_split", "similar_vectors"]
+_NAMES = ["leakage", "sentences", "mixing", "residue", "near_duplicates", "cross_split", "similar_vectors", "scan_repair"]
 
 
 def query_modules() -> list:
