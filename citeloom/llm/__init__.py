@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ["leakage", "sentences", "mixing", "residue", "near_duplicates", "cross_split", "similar_vectors", "scan_repair"]
+_NAMES = ["similar_vectors", "subjects", "scan_repair", "near_duplicates", "cross_split", "residue", "leakage", "mixing", "sentences"]
 
 
 def query_modules() -> list:
