@@ -71,7 +71,7 @@ def bipartite_links(index: DataFrame, probe: DataFrame, least: float) -> DataFra
     met = left.join(right, "gram").where(
         (F.col("a") != F.col("b")) & (F.col("sa") >= least * F.col("sb") - 1e-9) & (F.col("sb") >= least * F.col("sa") - 1e-9)
         & (1 + F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1) >= least / (1 + least) * (F.col("sa") + F.col("sb")) - 1e-6))
-    pairs = met.select("a", "b").distinct()
+    pairs = materialize(met.select("a", "b").distinct(), "pairs")
     sets = index.unionByName(probe).dropDuplicates(["id"])
     return jaccard_at_least(pairs, sets, "a", "b", least)
 
@@ -90,7 +90,7 @@ def overlaps(rows: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
     def side(df: DataFrame, key: list, which: str) -> DataFrame:
         """class, member, rep, n of one side."""
         own = df.where(F.col("side") == which).select(F.xxhash64(*key).alias("class"), F.col("id").alias("member"))
-        return own.join(own.groupBy("class").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n")), "class")
+        return materialize(own.join(own.groupBy("class").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n")), "class"), "side")
 
     keyed = rows.where("key IS NOT NULL AND key != ''")
     ke, kt = side(keyed, ["key"], "eval"), side(keyed, ["key"], "train")

@@ -180,6 +180,7 @@ def _resolutions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    members = materialize(members, "members")
     side = members.select(F.col("rep").alias("class"), F.col("id").alias("member"), "rep", F.col("copies").alias("n"))
     within = members.where("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
     both = links.select("a", "b").unionByName(within)

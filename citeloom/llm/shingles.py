@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.runtime import materialize
+
 WORD = re.compile(r"[a-z0-9]+")
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD))
 EXPAND = 4096  # pairs of copies of two classes that are written out; larger products come as links to the representatives
@@ -83,9 +85,11 @@ def expand(links: DataFrame, left: DataFrame, right: DataFrame, limit: int = EXP
 
     left, right: class, member, rep, n: each member with its class, the class's representative on this side and its size there.
     """
+    links = materialize(links.select("a", "b"), "links")
     sizes = links.join(left.where("member = rep").select(F.col("class").alias("a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a")), "a")
     sizes = sizes.join(right.where("member = rep").select(F.col("class").alias("b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b")), "b")
     ma, mb = left.select(F.col("class").alias("a"), F.col("member").alias("x")), right.select(F.col("class").alias("b"), F.col("member").alias("y"))
+    sizes = materialize(sizes, "sizes")
     few, many = sizes.where(F.col("n_a") * F.col("n_b") <= limit), sizes.where(F.col("n_a") * F.col("n_b") > limit)
     whole = few.join(ma, "a").join(mb, "b").select("x", "y")
     star = many.join(ma, "a").select("x", F.col("rep_b").alias("y")).unionByName(many.join(mb, "b").select(F.col("rep_a").alias("x"), "y"))
