@@ -229,7 +229,7 @@ def is_real_page(body: Column, least: int = 100) -> Column:
 def detail_rows(pages: DataFrame, html: str, keep: list[str], host: str) -> DataFrame:
     """(keep, adopted_by, content, pdf_url, status) of detail pages; a guard's page has status SECURITY_BLOCK and an unreadable
     one ERROR, also in adopted_by, as later steps look for it there."""
-    body = visible_text(F.col(html))
+    body = visible_text(F.col("__h"))
     p = pages.select(*keep, F.col(html).alias("__h")).withColumn("__b", body)
     status = F.when(F.col("__h").isNull(), "ERROR").when(is_block_page(F.col("__b")), "SECURITY_BLOCK").otherwise("OK")
     p = p.withColumn("status", status)
