@@ -143,7 +143,7 @@ class Model:
     bound: set = field(default_factory=set)
 
 
-ABBREV_SCORE, STARTER_LLR, COLLOCATION_LLR, END_SHARE = 0.3, 30.0, 7.88, 0.6
+ABBREV_SCORE, STARTER_LLR, COLLOCATION_LLR, END_SHARE, LONG_ABBREV = 0.3, 30.0, 7.88, 0.6, 3
 
 
 def learn(docs: DataFrame) -> Model:
@@ -186,7 +186,9 @@ def learn(docs: DataFrame) -> Model:
     # sentence starters: types after a mark that ends a sentence for sure (no abbreviation before it), against their use at large
     s = counts.where("kind = 's'").select("lang", "a", F.substring("b", 1, 1).alias("case"), F.expr("substring(b, 2)").alias("w"), "n")
     abbrev = docs.sparkSession.createDataFrame([*model.abbrev] or [("", "")], "lang string, a string")
-    sure = s.join(F.broadcast(abbrev), ["lang", "a"], "left_anti").where("a != '##number##'")
+    # long words among the candidates mostly just stand at ends of sentences: they are judged below, by what follows them
+    brief = abbrev.where(F.length("a") <= LONG_ABBREV)
+    sure = s.join(F.broadcast(brief), ["lang", "a"], "left_anti").where("a != '##number##'")
     opening = sure.unionByName(counts.where("kind = 'p'").select("lang", "a", F.lit("U").alias("case"), F.col("a").alias("w"), "n"))
     opening = opening.groupBy("lang", "w").agg(F.sum("n").alias("opens"))
     breaks = {r[0]: r[1] for r in opening.groupBy("lang").agg(F.sum("opens")).collect()}
