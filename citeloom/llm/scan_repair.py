@@ -25,12 +25,6 @@ FREQUENT = 30  # uses in the sample from which a type that stands in unscanned r
 
 _NUM = r"(?:[\dlOoIS|]{0,4}\d[\dlOoIS|]{0,4}|[ivxlc]{1,7}|[IVXLC]{1,7}|l{1,2}[0-9o]|lo)"
 PAGE = re.compile(rf"^(?:[\-–—(\[]\s*)?(?:[Pp](?:age|agc|aqe)?\.?\s*)?{_NUM}(?:\s*/\s*{_NUM})?(?:\s*[\-–—)\]])?$")
-BARE_WORDS = re.compile(r"[A-Za-z]{2,}")
-HEADERISH = re.compile(r"(?i)\b(?:sess\w+|records?|supplement|distr|english|page|panel|assembly|adopted on|reports of)\b")
-#: Shapes of running headers, misread letters allowed for by reading the line through skeleton().
-_HEADS = [r"(\d+ )?assembly [—–-] [a-z\- ]*session( \d+)?", r"official records [a-z\- ]*session supplement no\.? ?\d*( \d+)?", r"distr\.? general\b.*", r"a/\S+ english page \S+", r"decisions adopted on the reports of .*", r"a/\d+/pv\.\d+( \d+)?"]
-
-
 #: Every confusable character in its most misread form, chains of confusions followed to their end.
 _SKELETON = str.maketrans({"m": "rr1", "n": "r1", "u": "11", "d": "c1", "w": "vv", "h": "11", "e": "c", "g": "q", "9": "q", "o": "0", "s": "5", "a": "@", "t": "†", "l": "1", "i": "1", "!": "1", "|": "1"})
 
@@ -40,18 +34,16 @@ def skeleton(word: str) -> str:
     return word.lower().translate(_SKELETON)
 
 
-def _skeleton_heads() -> re.Pattern:
-    """The shapes of headers with their plain words in skeleton form."""
-    out = []
-    for h in _HEADS:
-        if h.startswith("a/"):
-            continue
-        words = re.findall(r"[a-z]{3,}", re.sub(r"\[.*?\]|\\.", " ", h))
-        out.append(r"(?:\d+\s+)?\W*" + r"\W+(?:\S+\W+)*?".join(re.escape(skeleton(w)) for w in words))
-    return re.compile("|".join(f"(?:{x})" for x in out))
+def _heads() -> re.Pattern:
+    """Shapes of running headers, read through skeleton() so that misread letters don't matter."""
+    k = skeleton
+    #: The wordings of running headers.
+    shapes = [rf"(?:\d+\s+)?{k('assembly')} [—–\-] \S[^,;.]{{0,40}}?{k('session')}(?:\s+\d+)?$", rf"{k('official')} {k('records')},.{{0,60}}{k('supplement')}.{{0,20}}$",
+              rf"{k('distr')}\.\s+{k('general')}\b", rf"{k('decisions')} {k('adopted')} {k('on')} {k('the')} {k('reports')} {k('of')} {k('the')} [^,;.]{{0,30}}$"]
+    return re.compile("|".join(f"(?:{x})" for x in shapes))
 
 
-_SK_HEADS = _skeleton_heads()
+_SK_HEADS = _heads()
 _CODE = re.compile(r"^(?:\d{1,4} )?A/\w+/PV\.\w+(?: \d{1,4})?$|^A/\S+ E\S{4,8} [Pp]\S{2,3} \w+$")
 #: Headings inside a text, which look like headers but are none.
 _INNER = re.compile(r"^(?:ANNEX|PART|SECTION|CHAPTER|APPENDIX|TITLE|[A-Z]\.)(?:\s|$)")
