@@ -18,13 +18,13 @@ PLACEHOLDERS = [
     r"\{\{\s*" + _FIELD + r"\s*\}\}", r"\{%\s*" + _FIELD + r"\s*%\}", r"[$#]\{\s*" + _FIELD + r"\s*\}", r"\[\[\s*" + _FIELD + r"\s*\]\]", r"<<\s*" + _FIELD + r"\s*>>",
     r"@@\s*" + _FIELD + r"\s*@@", r"(?<!\w)__[A-Za-z][\w .\-]{0,60}?__(?!\w)", r"(?<![\w%])%[A-Za-z][A-Za-z_. ]{1,40}%(?![\w%])", r"\bXX [\w .\-]{1,40}? XX\b",
     r"(?i:<\s*(?:insert|enter|add|your)\b[^<>\n]{1,60}>)", r"\[\s*(?:INSERT|ENTER|ADD|YOUR)\b[^\[\]\n]{1,60}\]", r"(?i:\[[^\[\]\n]{0,60}\bto be (?:confirmed|added|completed|inserted|determined)\s*\])",
-    r"(?i:\[\s*(?:lorem|filler|dummy|sample|placeholder)\b[^\[\]\n]{0,60}\])", r"(?i:\[\s*(?:tbc|tbd|todo|placeholder)[^\[\]\n]{0,40}\])",
+    r"(?i:\[\s*(?:lorem|filler|dummy|sample|placeholder)\b[^\[\]\n]{0,60}\])", r"(?i:\[\s*(?:tbc|tbd|todo|placeholder)[^\[\]\n]{0,40}\])", r"(?i:[«\[(<{][^»\])>}\n]{0,60}(?:à compléter|a completar|por completar|zu ergänzen|to be filled(?: in)?|fill in|заполнить|待填|يستكمل)\s*[»\])>}])",
 ]
 #: What filler and sample text says.
 FILLER = [
     r"\blorem ipsum\b", r"\b(?:your|sample|dummy|placeholder|example) (?:text|content|paragraph|title)\b", r"\b(?:text|content) (?:goes )?here\b", r"\bexample page\b", r"\bedit or delete (?:it|this)\b",
     r"\bplaceholder for the\b", r"\bwill be (?:placed|inserted|added|shown) here\b", r"^\W*(?:test\W+)*test\W*$", r"\badd your \w+", r"\bclick (?:here )?to (?:edit|add)\b", r"\buntitled (?:section|page|document)\b", r"^\W*(?:tbd|tbc|todo|fixme|n/?a|xxx+|test|testing|none|null|nan|undefined|coming soon|under construction)\W*$",
-    r"\b(?:asdf|qwer|zxcv|hjkl|sdfg)\w*\b", r"\bx{3,}(?:\s+x{2,})+\b", r"\bthis (?:page|section) is (?:under construction|a stub|empty|left blank)\b", r"\bjust another \w+ site\b", r"\bhello world\b",
+    r"^\W*(?:(?:undefined|nan|null|none|object object)\W+)+(?:undefined|nan|null|none|object object)\W*$", r"^\W*(?:insert|enter|type|write|add) (?:a|an|the|your|some) (?:\w+ ){0,3}(?:paragraph|text|title|summary|description|content|name|date)\b.{0,40}$", r"\b(?:asdf|qwer|zxcv|hjkl|sdfg)\w*\b", r"\bx{3,}(?:\s+x{2,})+\b", r"\bthis (?:page|section) is (?:under construction|a stub|empty|left blank)\b", r"\bjust another \w+ site\b", r"\bhello world\b",
 ]
 #: What servers, browsers and guards say instead of a page.
 _THING = r"(?:page|file|resource|document|address|url|link|site|website|content|article|item|server|origin)"
@@ -61,6 +61,7 @@ COMMON = set("the of and to in that is was for with by on not from at which be a
 _WORD = re.compile(r"\w+")
 _CASED = re.compile(r"[A-Za-zÀ-ɏ]{2,}")
 _SENTENCE = re.compile(r"\n+|(?<=[.!?…。！？])\s+|\s\|\s")
+LONG_WORDS = 40  # an error page or notice has no more words than this
 SHORT_WORDS = 25  # a page with fewer words beside what detectors found, none on its subject, has no real content
 REPEATED = 3
 
@@ -119,11 +120,11 @@ def judge(title: str | None, url: str | None, adopted: str | None, content: str
     left = sum(len(x.split()) for x in real)
     on_topic = any(t for t, hit in zip(stems, bad) if not hit)
     found = any(hit and not t for hit, t in zip(bad, stems)) or any((_BAD.search(x) or _FILL.search(x)) for x in lines if _mask(x) in furniture or len(x.split()) < SHORT_WORDS)
-    if found and (left < 8 or left < SHORT_WORDS and not on_topic):
+    if found and size <= LONG_WORDS and (left < 8 or left < SHORT_WORDS and not on_topic):
         return "error or notice" if any(_BAD.search(x) for x in lines) else "filler"
     if not body:
         return "no content" if len(lines) > 0 and all(_mask(x) in furniture for x in lines) else None
-    if repeats >= REPEATED and size < SHORT_WORDS and not on_topic:
+    if repeats >= REPEATED and size < LONG_WORDS and not on_topic:
         inner = [w for x in body for s in re.split(r"[.!?:]\s+", x) for w in s.split()[1:]]
         named = any(w[:1].isupper() and not w.isupper() for w in inner)
         if not named:
