@@ -26,11 +26,12 @@ _BULLET = re.compile(r"^\W*(?:\d{1,3}|[a-z]|[ivxlc]{1,6})[.)]\s+", re.I)
 
 def paragraphs(content: str, title: str | None) -> list[str]:
     """The paragraphs of a text, wrapped lines joined, headers, page numbers and the title left out."""
+    name = skeleton(re.sub(r"\W+", " ", title or "")).strip()
     lines = content.split("\n")
     if len(lines) > 1:
+        lines = [x for x in lines if not name or skeleton(re.sub(r"\W+", " ", x)).strip() != name]
         drop = weak_labels(lines, title, line_features(lines, title)) == 1
         lines = [x for x, d in zip(lines, drop) if not d]
-    name = skeleton(re.sub(r"\W+", " ", title or "")).strip()
     out: list[str] = []
     cur = last = ""
     for line in lines:
