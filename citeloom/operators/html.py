@@ -16,7 +16,7 @@ from citeloom.functions.text import strip, url_join
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = set("script style template noscript head title".split())
 #: Phrases of a page that asks for a human instead of showing its content.
-BLOCK_PHRASES = ["verify you are human", "security check", "checking your browser", "access denied", "unusual traffic"]
+BLOCK_PHRASES = ["security verification", "verifies you are not a bot", "performing security", "i am human", "checking your browser"]
 
 
 class Node:

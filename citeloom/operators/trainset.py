@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import canonical_symbol, strip
 
 
+#: Fixed value: the system's turn of every training sample.
+CHAT_SYSTEM = "You are a strict information extraction system. Extract only United Nations general assembly resolution codes from the input. Do not explain, do not add commentary, return only results."
+
+
 def chronological_split(df: DataFrame, id_col: str, day: str, parts: tuple[float, float] = (0.8, 0.9), as_coded: bool = False) -> DataFrame:
     """(id, day, split): train, val and test in order of date, undated ones last, ties by id.
 
@@ -61,3 +65,10 @@ def chat(system: str | Column, user: Column, assistant: Column) -> Column:
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.coalesce(c, F.lit("")).alias("content"))
     return F.struct(F.array(turn("system", sys), turn("user", user), turn("assistant", assistant)).alias("messages"))
 
+
+def training_lines(nodes: DataFrame, edges: DataFrame, day: str, system: str = CHAT_SYSTEM, as_coded: bool = False) -> DataFrame:
+    """(split, res_id, sample): chat samples of all documents, each in the split of its id; ids are stripped on both sides. With
+    as_coded the overlapping splits of slices from the wrong end, and no documents without citations."""
+    split = chronological_split(nodes.withColumn("__id", strip("res_id2_unlet")), "__id", day, as_coded=as_coded).select(F.col("id").alias("res_id"), "split").distinct()
+    rows = qa_rows(nodes, edges, as_coded).join(split, "res_id")
+    return rows.select("split", "res_id", chat(system, F.col("question_text"), F.col("answer")).alias("sample"))

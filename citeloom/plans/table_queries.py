@@ -15,7 +15,7 @@ from citeloom.sources.sinks import json_line
 from citeloom.streaming import incremental as I
 
 HOST = "https://instruments.example"
-SYSTEM = "You name the resolutions that a text cites."
+SYSTEM = T.CHAT_SYSTEM
 
 
 def _t(name: str):
@@ -102,6 +102,11 @@ def chat_messages(spark, root):
     return q.select("res_id", json_line(T.chat(SYSTEM, F.col("question_text"), F.col("answer"))).alias("line"))
 
 
+def training_lines(spark, root):
+    t = T.training_lines(_res(spark, root).withColumn("d", parse_date("date_p")), _cit(spark, root), "d")
+    return t.select("split", "res_id", json_line(F.col("sample")).alias("line"))
+
+
 def canonical_symbols(spark, root):
     return _res(spark, root).select("ord", canonical_symbol(strip("res_id2")).alias("symbol"))
 
@@ -192,7 +197,7 @@ def stream_events(spark, root):
     return spark.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_keep_first, dedupe_keep_last, union_instruments, overlap_counts, semi_titles, uncited_anti, nonnull_symbols, not_in_session, resume_batch, value_counts, head_rows, tail_rows, rows_by_year, chrono_split, chrono_split_as_coded, ordered_answers, qa_rows, chat_messages, canonical_symbols, extract_years, sentence_stats, url_absolute, real_pages, html_cards, html_fields, html_accordion, vector_norms, vectors_normalized, weighted_centroid, topk_inner_product, verify_self_top1, vector_summary, events_by_hour, stream_events)}
+QUERIES = {f.__name__: f for f in (dedupe_keep_first, dedupe_keep_last, union_instruments, overlap_counts, semi_titles, uncited_anti, nonnull_symbols, not_in_session, resume_batch, value_counts, head_rows, tail_rows, rows_by_year, chrono_split, chrono_split_as_coded, ordered_answers, qa_rows, chat_messages, training_lines, canonical_symbols, extract_years, sentence_stats, url_absolute, real_pages, html_cards, html_fields, html_accordion, vector_norms, vectors_normalized, weighted_centroid, topk_inner_product, verify_self_top1, vector_summary, events_by_hour, stream_events)}
 
 _SP = r"[\s\p{Z}\x0B\x{85}\x1C-\x1F]"
 _strip = lambda c: f"regexp_replace({c}, '^{_SP}+|{_SP}+$', '', 'g')"
@@ -228,6 +233,7 @@ SQL = {
     "ordered_answers": f"SELECT res_id2_unlet_giv, string_agg({_symbol(_strip('res_id2_unlet_recv'))}, ', ' ORDER BY {_symbol(_strip('res_id2_unlet_recv'))}) AS answer FROM ga_citations_1946_2019 WHERE res_id2_unlet_giv IS NOT NULL GROUP BY 1",
     "qa_rows": _QA,
     "chat_messages": f"SELECT res_id, CAST(json_object('messages', json_array(json_object('role', 'system', 'content', '{SYSTEM}'), json_object('role', 'user', 'content', question_text), json_object('role', 'assistant', 'content', answer))) AS VARCHAR) AS line FROM ({_QA})",
+    "training_lines": _SPLIT(f"SELECT id, min(day) AS day FROM (SELECT {_strip('res_id2_unlet')} AS id, {_day('date_p')} AS day FROM ga_resolutions_1946_2019 WHERE res_id2_unlet IS NOT NULL) GROUP BY id") + f", s AS (SELECT id, CASE WHEN pos < floor(n * 0.8) THEN 'train' WHEN pos < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM p) SELECT s.split, q.res_id, CAST(json_object('messages', json_array(json_object('role', 'system', 'content', '{SYSTEM}'), json_object('role', 'user', 'content', question_text), json_object('role', 'assistant', 'content', answer))) AS VARCHAR) AS line FROM ({_QA}) q JOIN s ON s.id = q.res_id",
     "canonical_symbols": f"SELECT ord, {_symbol(_strip('res_id2'))} AS symbol FROM ga_resolutions_1946_2019",
     "extract_years": r"SELECT ord, nullif(regexp_extract(adopted_by, ',\s*\d+ \w+ (\d{4})', 1), '') AS year, nullif(regexp_extract(adopted_by, 'decision\s+([^,]+)$', 1), '') AS decision FROM ohchr_instruments_detailed",
     "sentence_stats": f"SELECT doc_id, CAST(CASE WHEN len({_SENT}) = 0 THEN 1 ELSE len({_SENT}) END AS INTEGER) AS n_sentences, CAST(CASE WHEN len({_SENT}) = 0 THEN length(text) ELSE list_max(list_transform({_SENT}, lambda s: length(s))) END AS INTEGER) AS longest FROM documents WHERE text IS NOT NULL",

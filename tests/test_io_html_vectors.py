@@ -68,13 +68,13 @@ def test_html(spark):
     card = "<a class='card-link x' href='/1'><h3 class='card__heading'><span>T</span></h3><p class='ad'>by</p></a><a class='card-link'><h3>bad</h3></a>"
     assert [tuple(r) for r in H.cards(spark.createDataFrame([(card,)], "html string"), "html", [], "a.card-link", "h3.card__heading span", "p.ad").collect()] == [("T", "by", "/1")]
     page = "<head><title>t</title></head><div class='content-hero'><p>Adopted</p></div><div class='main-content'>Body<script>x</script></div><div class='paragraph--type--file-version'><a class='pdf' href='/f.pdf'>d</a></div>"
-    d = spark.createDataFrame([("1", page), ("2", "<p>Please verify you are human</p>"), ("3", None)], "id string, html string")
+    d = spark.createDataFrame([("1", page), ("2", "<p>Performing Security check</p>"), ("3", None)], "id string, html string")
     got = {r["id"]: (r["adopted_by"], r["content"], r["pdf_url"], r["status"]) for r in H.detail_rows(d, "html", ["id"], "https://h").collect()}
     assert got["1"] == ("Adopted", "Body", "https://h/f.pdf", "OK") and got["2"][3] == "SECURITY_BLOCK" and got["3"][0] == "ERROR"
 
 
 def test_real_page_rule_and_pagination(spark):
-    df = spark.createDataFrame([("x" * 100,), (" " + "x" * 101,), ("access denied " + "x" * 200,), (None,)], "b string")
+    df = spark.createDataFrame([("x" * 100,), (" " + "x" * 101,), ("I am human " + "x" * 200,), (None,)], "b string")
     assert [r[0] for r in df.select(H.is_real_page(F.col("b"))).collect()] == [False, True, False, False]
     site = {"1": "<a class='next' href='2'>n</a>", "2": "<a class='next disabled' href='3'>n</a>"}
     assert [u for u, _ in H.collect_pages("1", site.get, "a.next")] == ["1", "2"]
