@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ def words(text: str) -> list[str]:
 
 def needed(n: int, part: float, edits: int) -> tuple[int, int, int]:
     """Of an item of n words: words that a stretch has at least, words of a phrase, phrases that any such stretch shares."""
-    least = max(1, -int(-part * n // 1)) if part * n % 1 else max(1, int(part * n))
+    least = max(1, math.ceil(part * n - 1e-9))
     q = min(GRAM, least)
     return least, q, max(1, min(m - q + 1 - (m // edits) * q for m in range(least, n + 1)))
 

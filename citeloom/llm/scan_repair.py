@@ -184,7 +184,7 @@ def parse(title: str | None, content: str, model: Boosted) -> Parsed:
     text = [k for k in range(len(lines)) if kinds[k] is None and lines[k].strip()]
     joints = []
     for a, b in zip(text, text[1:]):
-        m = re.search(rf"([^\s{BREAKS}—]+(?:-[^\s{BREAKS}—]+)*)([{BREAKS}])\s*$", lines[a])
+        m = re.search(rf"([^\s{BREAKS}—]+(?:-[^\s{BREAKS}—]+)*)([{BREAKS}])\s*$", lines[a][-400:])
         if m and m.group(1)[-1:].isalnum() | (m.group(1)[-1:] in INTRUDERS):
             second = lines[b].split()[0]
             joints.append((a, m.group(1).lstrip(_STRIP).lower(), m.group(2), b, second.rstrip(_STRIP).lower()))
