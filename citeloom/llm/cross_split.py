@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import plain_identifier, strip
+from citeloom.llm.near_duplicates import shared_sql
 from citeloom.llm.shingles import expand, jaccard_at_least, shingle_sets
 from citeloom.runtime import materialize, table
 
@@ -127,4 +128,9 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
-SQL: dict[str, str] = {}
+_PLAIN = r"regexp_replace(regexp_replace(lower({c}), '[\s\p{{Z}}\x0B\x{{85}}\x1C-\x1F]+', '', 'g'), '^a/res/', '')"
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH {shared_sql("content", "content IS NOT NULL")}, r AS (SELECT r.ord, {_PLAIN.format(c="r.res_id2")} AS k, lower(trim(s.split)) AS split FROM ga_resolutions_1946_2019 r JOIN resolution_splits s ON s.ord = r.ord WHERE s.split IS NOT NULL),
+        p AS (SELECT ord_a, ord_b FROM near UNION SELECT a.ord, b.ord FROM r a JOIN r b ON a.k = b.k AND a.k <> '' AND a.ord < b.ord)
+        SELECT ord_a, ord_b FROM p JOIN r a ON a.ord = ord_a JOIN r b ON b.ord = ord_b WHERE (a.split = 'train' AND b.split IN ('val', 'test')) OR (b.split = 'train' AND a.split IN ('val', 'test'))""",
+}

@@ -203,4 +203,15 @@ def p4_groups(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-SQL: dict[str, str] = {}
+
+
+def shared_sql(text: str, where: str) -> str:
+    """SQL of pairs ord_a < ord_b of resolutions that share at least 60 % of their three-word sequences, by counting all of them."""
+    return f"""w AS (SELECT ord, regexp_extract_all(lower({text}), '[a-z0-9]+') AS w FROM ga_resolutions_1946_2019 WHERE {where}),
+        g AS (SELECT DISTINCT ord, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+        n AS (SELECT ord, count(*) AS n FROM g GROUP BY 1),
+        c AS (SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY 1, 2),
+        near AS (SELECT ord_a, ord_b FROM c JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE k >= 0.6 * (x.n + y.n - k))"""
+
+
+SQL: dict[str, str] = {"p4_found": f"WITH {shared_sql("coalesce(title, '') || ' ' || content", 'content IS NOT NULL')} SELECT ord_a, ord_b FROM near"}
