@@ -26,7 +26,7 @@ SPACED = ".!?…؟۔"
 DENSE = "。！？．।॥｡"
 _CL, _OP = re.escape(CLOSERS), re.escape(OPENERS)
 MARK = re.compile(f"[{SPACED}]+[{_CL}]*(?:[   ]»)?[{_CL}]*(?=\\s|$|[{_OP}])|[{DENSE}]+[{_CL}]*")
-PAIR = re.compile(f"(\\S*[{SPACED}][{_CL}]*)(?:[   ]»)?\\s+(?=(\\S+))")
+AFTER = re.compile(f"[{SPACED}][{_CL}]*(?:[   ]»)?(\\s+)")
 BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 #: Frequent function words, by which languages of one script are told apart.
 FUNCTION_WORDS = {
@@ -37,10 +37,12 @@ FUNCTION_WORDS = {
     "pt": "o os as do da dos das e um uma em para que por com não se ao na no",
     "it": "il lo gli i di e un una in per che con non si del della dei nel al è",
 }
-_VOTES: dict[str, list[str]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
+_LANGS = list(FUNCTION_WORDS)
+_VOTES: dict[str, list[int]] = {}
+for _k, _words in enumerate(FUNCTION_WORDS.values()):
     for _w in _words.split():
-        _VOTES.setdefault(_w, []).append(_lang)
+        _VOTES.setdefault(_w, []).append(_k)
+_KEYS = frozenset(_VOTES)
 _SCRIPT = re.compile("([A-Za-zÀ-ɏ])|([Ѐ-ӿ])|([؀-ۿ])|([ऀ-ॿ])|([぀-ヿ])|([㐀-鿿])")
 _SCRIPTS = ["latin", "ru", "ar", "hi", "ja", "zh"]
 _TRIM = re.compile(f"^[{_OP}\\-—–]+|[{_CL},;:]+$")
@@ -58,12 +60,13 @@ def language(par: str) -> str:
         return "none"
     s = _SCRIPTS[m.lastindex - 1]
     if s == "latin":
-        votes: Counter = Counter()
-        for w in par.lower().split():
-            for lang in _VOTES.get(w, ()):
-                votes[lang] += 1
-        if votes:
-            return votes.most_common(1)[0][0]
+        found = _KEYS.intersection(par.lower().split())
+        if found:
+            votes = [0] * len(FUNCTION_WORDS)
+            for w in found:
+                for k in _VOTES[w]:
+                    votes[k] += 1
+            return _LANGS[votes.index(max(votes))]
     elif s == "zh":
         return "ja" if re.search("[぀-ヿ]", par) else "zh"
     return s
@@ -105,7 +108,12 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tokens = par.split()
                 raw[lang].update(tokens)
                 first[lang][tokens[0]] += 1
-                pairs[lang].update(PAIR.findall(par))
+                seen = pairs[lang]
+                for m in AFTER.finditer(par):
+                    i = m.start()
+                    head = par[max(par.rfind(" ", 0, i), par.rfind("\n", 0, i)) + 1 : m.start(1)]
+                    if nxt := par[m.end() : m.end() + 80]:
+                        seen[head, nxt.split(None, 1)[0]] += 1
         rows: Counter = Counter()
         for lang in raw:
             for tok, n in raw[lang].items():
