@@ -33,45 +33,53 @@ def needed(n: int, part: float, edits: int) -> tuple[int, int, int]:
     return least, q, max(1, min(m - q + 1 - (m // edits) * q for m in range(least, n + 1)))
 
 
+def _distances(diff: np.ndarray, starts: int, take) -> None:
+    """Edit distances of all stretches of an item that begin at one of its first `starts` words, against all endings in a text:
+    diff[i, j] tells whether word i of the item differs from word j. take(i, rows) sees them after each word of the item."""
+    n, m = diff.shape
+    cols = np.arange(m + 1, dtype=np.int32)
+    d = np.zeros((starts, m + 1), np.int32)
+    new = np.empty_like(d)
+    for i in range(n):
+        live = min(i + 1, starts)
+        old, x = d[:live], new[:live]
+        np.add(old, 1, out=x)
+        np.minimum(x[:, 1:], old[:, :-1] + diff[i], out=x[:, 1:])
+        x -= cols  # insertions: the least up to each place
+        np.minimum.accumulate(x, axis=1, out=x)
+        np.add(x, cols, out=old)
+        take(i, old)
+
+
 def best_stretch(item: list, doc: list, least: int, edits: int) -> tuple[int, int] | None:
     """(begin, end) in doc of the longest stretch of `item` of at least `least` words that doc holds with at most one word in
-    `edits` changed, missing or added; None if there is none. Edit distances of all beginnings are kept side by side."""
+    `edits` changed, missing or added; None if there is none. The edit distances of all beginnings are kept side by side."""
     n, m = len(item), len(doc)
     if not m or n < least:
         return None
-    starts = n - least + 1
-    cols = np.arange(m + 1, dtype=np.int32)
-    d = np.zeros((starts, m + 1), np.int32)
-    src = np.broadcast_to(cols, d.shape).copy()  # where the stretch of doc begins; kept for the best cell's row
     code = {w: k for k, w in enumerate(dict.fromkeys(item))}
-    di, ii = np.array([code.get(w, -1) for w in doc]), [code[w] for w in item]
-    best = None
-    big = np.int32(m + 2)
-    for i in range(n):
-        live = min(i + 1, starts)
-        old = d[:live]
-        sub = old[:, :-1] + (di != ii[i])
-        dele = old + 1
-        new = dele.copy()
-        new[:, 1:] = np.minimum(new[:, 1:], sub)
-        pick_sub = np.zeros_like(new, bool)
-        pick_sub[:, 1:] = sub <= dele[:, 1:]
-        s = np.where(pick_sub, np.pad(src[:live, :-1], ((0, 0), (1, 0))), src[:live])
-        # insertions: the least of new[k] - k up to j, plus j; its source comes along in the low digits
-        packed = (new - cols).astype(np.int64) * big + 0
-        at = np.maximum.accumulate(np.where(packed == np.minimum.accumulate(packed, 1), cols, 0), 1)
-        low = np.minimum.accumulate(packed, 1) // big
-        d[:live] = (low + cols).astype(np.int32)
-        src[:live] = np.take_along_axis(s, at, 1)
-        length = i + 1 - np.arange(live)
-        ok = (length[:, None] >= least) & (d[:live] * edits <= length[:, None])
-        if ok.any():
-            score = np.where(ok, length[:, None] * 1000 - d[:live], -1)
-            k = int(score.argmax())
-            r, j = divmod(k, m + 1)
-            if best is None or score[r, j] > best[0]:
-                best = (int(score[r, j]), int(src[r, j]), j)
-    return best and (best[1], best[2])
+    diff = np.array([code[w] for w in item])[:, None] != np.array([code.get(w, -1) for w in doc])[None, :]
+    if n <= m:  # the whole item unchanged
+        whole = np.flatnonzero(~np.lib.stride_tricks.sliding_window_view(diff, n, axis=1)[np.arange(n), :, np.arange(n)].any(0))
+        if len(whole):
+            return int(whole[0]), int(whole[0]) + n
+    best: list = []
+
+    def longest(i: int, d: np.ndarray) -> None:
+        lengths = i + 1 - np.arange(len(d))
+        low = d.min(1)
+        ok = np.flatnonzero((lengths >= least) & (low * edits <= lengths))
+        if len(ok) and (not best or (lengths[ok[0]], -low[ok[0]]) > best[0][:2]):
+            best[:] = [(int(lengths[ok[0]]), -int(low[ok[0]]), int(ok[0]), i, int(d[ok[0]].argmin()))]
+
+    _distances(diff, n - least + 1, longest)
+    if not best:
+        return None
+    _, _, first, last, end = best[0]
+    # read backwards from its end, the stretch's beginning is where the same distance is met
+    back: list = []
+    _distances(diff[first : last + 1, :end][::-1, ::-1], 1, lambda i, d: back.append(int(d[0].argmin())) if i == last - first else None)
+    return end - back[0], end
 
 
 class Items:
