@@ -92,6 +92,14 @@ def is_filler(text: str) -> bool:
     return common == 0 or (common <= 0.02 * len(w) and len(set(w)) < 0.6 * len(w))
 
 
+_MAY_PLACE = re.compile(r"[{\[<@%«]|__|XX|\(")
+
+
+def _has_place(text: str) -> bool:
+    """Whether a placeholder stands in the text; most texts hold none of the characters that one needs."""
+    return _MAY_PLACE.search(text) is not None and _PLACE.search(text) is not None
+
+
 def judge(title: str | None, url: str | None, adopted: str | None, content: str | None, furniture: set[str], repeats: int) -> str | None:
     """Why a row has no real page, or None. furniture: masked lines that many rows share; repeats: titles that share the body."""
     if adopted is not None:
@@ -102,7 +110,7 @@ def judge(title: str | None, url: str | None, adopted: str | None, content: str
             return "failure mark"
     if content is None or not content.strip():
         return None
-    if _PLACE.search(content):
+    if _has_place(content):
         return "placeholder"
     slug = (url or "").rstrip("/").rsplit("/", 1)[-1]
     topic = _terms(title, slug) - GENERIC
@@ -113,6 +121,8 @@ def judge(title: str | None, url: str | None, adopted: str | None, content: str
     size = sum(len(x.split()) for x in body)
     if filler and filler >= 0.3 * size:
         return "filler"
+    if size > LONG_WORDS:
+        return None
     parts = [x for y in body for x in _SENTENCE.split(y) if x.strip()]
     stems = [{w[:6] for w in _WORD.findall(x.lower())} & topic for x in parts]
     bad = [bool(_BAD.search(x) or _FILL.search(x)) for x in parts]
@@ -120,11 +130,11 @@ def judge(title: str | None, url: str | None, adopted: str | None, content: str
     left = sum(len(x.split()) for x in real)
     on_topic = any(t for t, hit in zip(stems, bad) if not hit)
     found = any(hit and not t for hit, t in zip(bad, stems)) or any((_BAD.search(x) or _FILL.search(x)) for x in lines if _mask(x) in furniture or len(x.split()) < SHORT_WORDS)
-    if found and size <= LONG_WORDS and (left < 8 or left < SHORT_WORDS and not on_topic):
+    if found and (left < 8 or left < SHORT_WORDS and not on_topic):
         return "error or notice" if any(_BAD.search(x) for x in lines) else "filler"
     if not body:
         return "no content" if len(lines) > 0 and all(_mask(x) in furniture for x in lines) else None
-    if repeats >= REPEATED and size < LONG_WORDS and not on_topic:
+    if repeats >= REPEATED and not on_topic:
         inner = [w for x in body for s in re.split(r"[.!?:]\s+", x) for w in s.split()[1:]]
         named = any(w[:1].isupper() and not w.isupper() for w in inner)
         if not named:
@@ -157,6 +167,8 @@ def find_residue(pages: DataFrame) -> DataFrame:
     bodies = short.groupBy(F.xxhash64("body").alias("b")).agg(F.count_distinct("title").alias("repeats")).where(F.col("repeats") >= REPEATED)
     held = rows.withColumn("b", F.when(F.length("content") < 600, F.xxhash64(masked))).join(bodies, "b", "left").drop("b")
     known = spark.sparkContext.broadcast(furniture)
+    # judging costs far more than reading: as many tasks as cores and rows ask for, whatever the bytes
+    held = held.repartition(max(2 * spark.sparkContext.defaultParallelism, total // 50_000))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
