@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -287,11 +288,14 @@ def fit_ranking(trusted: list[tuple[str, int]], seed: int = 5) -> Boosted:
 
 @dataclass
 class Scan:
-    """Results over a table: parts, rows of (ord, line_no, kind); fixes, replacement of each misread type; joins, (ord, line_no)
-    of the break marks that vanish."""
+    """Results over a table: parts, rows of (ord, line_no, kind); fixes, replacement of each misread type, broken words' included;
+    joins, the words broken across lines (ord, line_no, to, a, b, vanish, form): both parts, lines from the first to the second,
+    whether the break mark vanishes, and the right form where a part is misread; edits, all that texts() applies."""
 
     parts: DataFrame
     fixes: DataFrame
+    joins: DataFrame
+    edits: DataFrame
     lines: Boosted
 
 
@@ -349,9 +353,23 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
     sample_words = [(r[0], r[1]) for r in trusted.where("n >= 5").orderBy(F.desc("n"), "w").limit(SAMPLE_WORDS).collect()]
     ranking = spark.sparkContext.broadcast(fit_ranking(sample_words))
 
+    # joints: forms joined and hyphenated, looked up by skeleton over trusted types
+    forms = trusted.withColumn("k", sk("w")).groupBy("k").agg(F.sum("n").alias("uses"), F.max_by("w", "n").alias("form"))
+    joint = read_.where("kind = 'joint'").select("ord", "line_no", "a", "b", "c").withColumn("kj", sk(F.concat("a", "b"))).withColumn("kh", sk(F.concat("a", F.lit("-"), "b"))).withColumn("ka", sk("a")).withColumn("kb", sk("b"))
+    for c in ("kj", "kh", "ka", "kb"):
+        joint = joint.join(forms.select(F.col("k").alias(c), F.col("uses").alias(c + "_n"), F.col("form").alias(c + "_form")), c, "left").fillna(0, [c + "_n"])
+    soft = F.substring("c", 1, 1).isin("¬", "\xad")
+    vanish = F.when(F.col("kj_n") + F.col("kh_n") > 0, F.col("kj_n") >= F.col("kh_n")).when(soft, True).otherwise(~((F.col("ka_n") >= 3) & (F.col("kb_n") >= 3)))
+    joint = joint.withColumn("vanish", vanish).withColumn("w", F.concat("a", F.when(F.col("vanish"), "").otherwise("-"), "b")).withColumn("to", F.expr("CAST(substring(c, 2) AS bigint)"))
+    joint = joint.withColumn("form", F.when(F.col("kj_n") >= F.col("kh_n"), F.col("kj_form")).otherwise(F.col("kh_form")))
+    joint = materialize(joint.select("ord", "line_no", "a", "b", "w", "to", "vanish", "form"), "joints")
+
     # retrieval of candidates: rare q-grams first would do, but types are few next to texts, so all q-grams are joined and counted
     gram = F.pandas_udf(lambda s: s.map(lambda w: sorted(_grams(w))), "array<string>")
     doubtful = types.where((~F.col("trusted")) & (F.length("w") >= 2) & (F.length("w") <= 40)).select("w", "n")
+    # broken words of no known form are looked up like any other type
+    unknown = joint.where("form IS NULL AND length(w) BETWEEN 2 AND 40").groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(types.select("w"), "w", "left_anti")
+    doubtful = materialize(doubtful.unionByName(unknown), "doubtful")
     left = doubtful.withColumn("gs", gram("w")).select("w", "n", F.size("gs").alias("size"), F.explode("gs").alias("g"))
     right = trusted.where("n >= 2").withColumn("gs", gram("w")).select(F.col("w").alias("o"), F.col("n").alias("m"), F.explode("gs").alias("g"))
     met = left.join(right, "g").where(F.abs(F.length("w") - F.length("o")) <= 3).groupBy("w", "n", "size", "o", "m").agg(F.count(F.lit(1)).alias("shared"))
@@ -371,28 +389,144 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
     fixes = scored.unionByName(own).groupBy("w").agg(F.max_by("o", F.struct("score", "m", "o")).alias("fix"))
     fixes = materialize(fixes, "fixes")
 
-    # joints: forms joined and hyphenated, looked up by skeleton over trusted types
-    forms = trusted.withColumn("k", sk("w")).groupBy("k").agg(F.sum("n").alias("uses"))
-    joint = read_.where("kind = 'joint'").select("ord", "line_no", "a", "b", "c").withColumn("kj", sk(F.concat("a", "b"))).withColumn("kh", sk(F.concat("a", F.lit("-"), "b"))).withColumn("ka", sk("a")).withColumn("kb", sk("b"))
-    for c in ("kj", "kh", "ka", "kb"):
-        joint = joint.join(forms.select(F.col("k").alias(c), F.col("uses").alias(c + "_n")), c, "left").fillna(0, [c + "_n"])
-    soft = F.substring("c", 1, 1).isin("¬", "\xad")
-    vanish = F.when(F.col("kj_n") + F.col("kh_n") > 0, F.col("kj_n") >= F.col("kh_n")).when(soft, True).otherwise(~((F.col("ka_n") >= 3) & (F.col("kb_n") >= 3)))
-    joins = materialize(joint.where(vanish).select("ord", "line_no", F.lit("hyphen").alias("kind"), "a", "b", F.expr("CAST(substring(c, 2) AS bigint)").alias("to")), "joins")
-
-    words = read_.where("kind = 'word'").select("ord", "line_no", F.col("a").alias("w"))
-    wrong = words.join(fixes, "w", "left_semi").select("ord", "line_no").distinct().withColumn("kind", F.lit("misread"))
+    words = read_.where("kind = 'word'").select("ord", "line_no", F.col("a").alias("w")).join(fixes, "w")
+    wrong = words.select("ord", "line_no").distinct().withColumn("kind", F.lit("misread"))
     # a broken word is misread where its part differs from the part of the best known form
     marks = "[" + re.escape(INTRUDERS).replace("|", "\\|") + "]"
-    forms_w = trusted.withColumn("k", sk("w")).groupBy("k").agg(F.max_by("w", "n").alias("form"))
-    whole = joint.join(forms_w.select(F.col("k").alias("kj"), F.col("form").alias("fj")), "kj", "left").join(forms_w.select(F.col("k").alias("kh"), F.col("form").alias("fh")), "kh", "left")
-    form = F.when(F.col("kj_n") >= F.col("kh_n"), F.col("fj")).otherwise(F.col("fh"))
-    whole = whole.withColumn("form", form).withColumn("to", F.expr("CAST(substring(c, 2) AS bigint)"))
-    bad_a = F.coalesce(~F.startswith("form", F.col("a")), F.col("a").rlike(marks))
-    bad_b = F.coalesce(~F.endswith("form", F.col("b")), F.col("b").rlike(marks))
-    broken = whole.where(bad_a).select("ord", "line_no").unionByName(whole.where(bad_b).select("ord", (F.col("line_no") + F.col("to")).alias("line_no"))).withColumn("kind", F.lit("misread"))
-    parts = read_.where("kind IN ('header', 'page_no')").select("ord", "line_no", "kind").unionByName(joins.select("ord", "line_no", "kind")).unionByName(wrong).unionByName(broken).distinct()
-    return Scan(parts, fixes, lines_model)
+    whole = joint.join(fixes, "w", "left").withColumn("form", F.coalesce("form", "fix")).drop("fix")
+    whole = whole.withColumn("bad_a", F.coalesce(~F.startswith("form", F.col("a")), F.col("a").rlike(marks))).withColumn("bad_b", F.coalesce(~F.endswith("form", F.col("b")), F.col("b").rlike(marks)))
+    joins = materialize(whole.withColumn("form", F.when(F.col("bad_a") | F.col("bad_b"), F.col("form"))), "joins")
+    broken = joins.where("bad_a").select("ord", "line_no").unionByName(joins.where("bad_b").select("ord", (F.col("line_no") + F.col("to")).alias("line_no"))).withColumn("kind", F.lit("misread"))
+    furniture_ = read_.where("kind IN ('header', 'page_no')").select("ord", "line_no", "kind")
+    parts = furniture_.unionByName(joins.where("vanish").select("ord", "line_no", F.lit("hyphen").alias("kind"))).unionByName(wrong).unionByName(broken).distinct()
+    none, far = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    edits = furniture_.select("ord", "line_no", F.lit("drop").alias("op"), none.alias("a"), none.alias("b"), far.alias("to"))
+    edits = edits.unionByName(words.select("ord", "line_no", F.lit("word").alias("op"), F.col("w").alias("a"), F.col("fix").alias("b"), far.alias("to")).distinct())
+    edits = edits.unionByName(joins.select("ord", "line_no", F.when(F.col("vanish"), "join").otherwise("hyphen").alias("op"), F.col("a"), F.col("form").alias("b"), "to"))
+    of_broken = joins.where("form IS NOT NULL").groupBy("w").agg(F.min("form").alias("fix")).join(fixes, "w", "left_anti")
+    return Scan(parts, fixes.unionByName(of_broken), joins.select("ord", "line_no", "to", "a", "b", "vanish", "form"), edits, lines_model)
+
+
+def recase(word: str, fix: str) -> str:
+    """fix in the upper and lower case of the misread word."""
+    low = word.lower()
+    if len(low) != len(word):
+        return fix
+    if sum(c.isalpha() for c in word) > 1 and word.upper() == word:
+        return fix.upper()
+    out = []
+    for op, i, j, k, m in SequenceMatcher(None, low, fix, autojunk=False).get_opcodes():
+        out.append(word[i:j] if op == "equal" else fix[k:m].capitalize() if word[i:j][:1].isupper() else fix[k:m])
+    return "".join(out)
+
+
+#: A hyphen before these words is a suspended one ("two- and three-day").
+_SUSPENDED = {"and", "or", "nor", "to"}
+_ITEM = re.compile(r"^(?:\(?(?:\d{1,3}|[a-z]|[ivxl]{1,6})[.)]|[-–—•*])\s")
+
+
+def repaired(title: str | None, content: str, edits: list) -> str:
+    """The text of a row as paragraphs, one blank line between two: furniture dropped, joints and fixes applied.
+
+    edits: (line_no, op, a, b, to) of Scan.edits. Lines are joined over page furniture and within what the row's layout shows as a
+    paragraph: blank lines where it has them, else deeper first lines, else lines that end before the next word was due. White
+    space within a paragraph becomes one space, soft hyphens go.
+    """
+    lines = content.split("\n")
+    drop = {e[0] for e in edits if e[1] == "drop"}
+    fix: dict[int, dict[str, str]] = {}
+    for k, op, a, b, _ in edits:
+        if op == "word":
+            fix.setdefault(k, {})[a] = b
+    joint = {e[0]: e for e in edits if e[1] in ("join", "hyphen")}
+    seconds = {k + e[4] for k, e in joint.items()}
+    text = [k for k in range(len(lines)) if k not in drop and lines[k].strip()]
+    bare = {k: re.sub(r"[\x0c\s]+", " ", lines[k]).strip() for k in text}
+    raw = {k: lines[k].replace("\x0c", "").rstrip() for k in text}
+    indent = {k: len(raw[k]) - len(raw[k].lstrip()) for k in text}
+    width = max(map(len, raw.values()), default=0)
+    plain = [(a, b) for a, b in zip(text, text[1:]) if not any(k in drop for k in range(a, b))]
+    blank = sum(b > a + 1 for a, b in plain) >= max(1, 0.1 * len(text))
+    flush = min(indent.values(), default=0)
+    wraps = any(bare[k][:1].islower() for k in text[1:])
+    indented = not blank and wraps and any(indent[k] > flush for k in text) and any(indent[b] == flush for _, b in plain)
+    known = skeleton(re.sub(r"\s+", " ", title or "").strip())
+
+    def heading(k: int) -> bool:
+        return skeleton(bare[k]) == known or bool(_INNER.match(bare[k])) and len(bare[k]) < 40 and bare[k][-1] not in ",;.:"
+
+    def goes_on(a: int, b: int) -> bool:
+        if a in joint:
+            return True
+        if heading(a) or heading(b):
+            return False
+        furnished = any(k in drop for k in range(a, b))
+        ended, low = bare[a][-1] in ",;.:!?", bare[b][:1].islower()
+        if low and not _ITEM.match(bare[b]):
+            return b == a + 1 or furnished or not ended
+        if furnished:
+            return not ended
+        if b > a + 1:
+            return False
+        if _ITEM.match(bare[b]) and ended:
+            return False
+        if blank:
+            return True
+        if indented:
+            return indent[b] <= flush
+        if len(raw[a]) + 1 + len(bare[b].split()[0]) + 2 <= width:
+            return False
+        return wraps and not ended
+
+    out: list[list[str]] = []
+    held: str | None = None  # first part of a word whose second part comes next
+    for i, k in enumerate(text):
+        words = lines[k].replace("\xad", "").split() if k not in joint else lines[k].split()
+        first, last = (0 if k not in seconds else 1), (len(words) - 1 if k in joint else len(words))
+        for j in range(first, last):
+            core = words[j].strip(_STRIP).replace("\xad", "")
+            if (f := fix.get(k, {}).get(core.lower())) is not None:
+                lead = len(words[j]) - len(words[j].lstrip(_STRIP))
+                words[j] = words[j][:lead] + recase(core, f) + words[j][len(words[j].rstrip(_STRIP)) :]
+        if i == 0 or not goes_on(text[i - 1], k):
+            out.append([])
+        if held is not None and words:
+            before = joint[text[i - 1]]
+            mark, head, tail = held[-1], held[:-1], words[0]
+            a = head[len(head) - len(before[2]) :]
+            b = tail.rstrip(_STRIP)
+            if k in joint and len(words) == 1:
+                b = tail[:-1]  # broken again
+            sep = "" if before[1] == "join" else "-" if mark in "¬\xad" else mark
+            if before[1] == "hyphen" and before[3] is None and b.lower() in _SUSPENDED:
+                out[-1].append(head + sep)
+            else:
+                whole = a + sep + b
+                words[0] = head[: len(head) - len(a)] + (recase(whole, before[3]) if before[3] is not None else whole) + tail[len(b) :]
+        held = words.pop() if k in joint and words else None
+        out[-1] += words
+    if held is not None:
+        out[-1].append(held)
+    return "\n\n".join(" ".join(w.replace("\xad", "") for w in p) for p in out if p)
+
+
+def texts(rows: DataFrame, scan: Scan | None = None) -> DataFrame:
+    """(ord, text): every row's content repaired. Null contents stay null and empty ones empty; rows of null ord have no marks and
+    are left out, as in repair(). ord names a row; copies of a row come out as often as they stand in rows."""
+    scan = scan or repair(rows)
+    kind = rows.schema["ord"].dataType.simpleString()
+    own = scan.edits.groupBy("ord").agg(F.collect_set(F.struct("line_no", "op", "a", "b", "to")).alias("edits"))
+    src = rows.where("ord IS NOT NULL").select("ord", "title", "content").join(own, "ord", "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = []
+            for t, c, es in zip(f["title"], f["content"], f["edits"]):
+                es = [] if es is None else [(e["line_no"], e["op"], e["a"], e["b"], e["to"]) for e in es]
+                got.append(repaired(t if isinstance(t, str) else None, c, es) if isinstance(c, str) else None)
+            yield pd.DataFrame({"ord": f["ord"], "text": pd.Series(got, f.index, object)})
+
+    return src.mapInPandas(run, f"ord {kind}, text string")
 
 
 def _rows(spark: SparkSession, root: str) -> DataFrame:
@@ -408,5 +542,10 @@ def p3_fixes(spark: SparkSession, root: str) -> DataFrame:
     return repair(_rows(spark, root)).fixes
 
 
-QUERIES = {"p3_found": p3_found, "p3_fixes": p3_fixes}
+def p3_text(spark: SparkSession, root: str) -> DataFrame:
+    """Every row's content as continuous paragraphs."""
+    return texts(_rows(spark, root))
+
+
+QUERIES = {"p3_found": p3_found, "p3_fixes": p3_fixes, "p3_text": p3_text}
 SQL: dict[str, str] = {}

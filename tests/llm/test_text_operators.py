@@ -183,6 +183,21 @@ def test_scan_repair_on_planted_pages(spark):
         assert len(g & t) >= recall * len(t) and len(g & t) >= precision * len(g), (kind, len(g), len(t), len(g & t), sorted(g - t)[:5], sorted(t - g)[:5])
 
 
+def test_repaired_text_has_paragraphs_without_furniture(spark):
+    rows, _ = corpus()
+    scan = "   Decides that members should consider the tribunal and the council\nwithout furthcr dcbate, and that the harvest\n\n- 41 -\nAssembly — Fourth session\n\nshould be a group (working) mem-\nbcr of the auth-\n- 42 -\nAssembly — Fourth session\nority;\n   Assembly record reported to the customs union by two- and three-way mem-\nbers."
+    rows += [(901, "t", scan), (902, "t", ""), (903, "t", None)]
+    df = spark.createDataFrame(rows, "ord long, title string, content string").withColumn("text", F.lit("clash"))
+    scanned = P.repair(df)
+    out = {r["ord"]: r["text"] for r in P.texts(df, scanned).collect()}
+    assert len(out) == len(rows) and out[902] == "" and out[903] is None
+    assert out[901].split("\n\n") == ["Decides that members should consider the tribunal and the council without further debate, and that the harvest should be a group (working) member of the authority;",
+                                      "Assembly record reported to the customs union by two- and three-way members."]
+    assert ("membcr", "member") in {(r["w"], r["fix"]) for r in scanned.fixes.collect()}
+    assert {(r["a"], r["b"]) for r in scanned.joins.where("ord = 901 AND vanish").collect()} == {("mem", "bcr"), ("auth", "ority"), ("mem", "bers")}
+    assert P.repaired(None, "by group-\nand council-wide", [(0, "hyphen", "group", None, 1)]) == "by group- and council-wide"
+
+
 def test_subjects_held_out(spark):
     r = random.Random(2)
     vocab = {"sea": "anchor harbour vessel reef tide sailor mast cargo".split(), "farm": "barley plough harvest cattle orchard fodder silo meadow".split(), "law": "tribunal verdict statute bench appeal notary decree clause".split()}
