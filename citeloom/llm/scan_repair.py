@@ -22,6 +22,7 @@ INTRUDERS = "01569!@†2|¢$€£"
 BREAKS = "\\-‐‑\xad¬"  # for character classes
 SAMPLE_ROWS = 3_000  # rows of the bounded sample on which the line classifier is fitted
 SAMPLE_WORDS = 4_000  # trusted types of the bounded sample on which the ranking of replacements is fitted
+RARE = 3  # types of so few uses are looked up however clean the rows they stand in
 FREQUENT = 30  # uses in the sample from which a type that stands in unscanned rows too needs no look-up
 
 _NUM = r"(?:[\dlOoIS|]{0,4}\d[\dlOoIS|]{0,4}|[ivxlc]{1,7}|[IVXLC]{1,7}|l{1,2}[0-9o]|lo)"
@@ -192,6 +193,14 @@ def parse(title: str | None, content: str, model: Boosted) -> Parsed:
     return Parsed(lines, kinds, joints)
 
 
+_SIGNS = re.compile(rf"\x0c|[\xad¬]\s*$|[^\W\d_][{re.escape(INTRUDERS)}]+[^\W\d_]", re.M)
+
+
+def scanned(p: Parsed) -> bool:
+    """Whether a row comes from a page: furniture, words broken at the ends of lines, form feeds, signs within words."""
+    return any(p.kinds) or bool(p.joints) or any(_SIGNS.search(x) for x in p.lines)
+
+
 def _frequent(rows: list[tuple[str | None, str]], model: Boosted, min_share: float) -> frozenset:
     """Types of the sample that are trusted whatever the other rows hold: at least FREQUENT uses, enough of them in unscanned rows."""
     n: Counter = Counter()
@@ -200,7 +209,7 @@ def _frequent(rows: list[tuple[str | None, str]], model: Boosted, min_share: flo
         p = parse(title, content, model)
         ws = [w for k, line in zip(p.kinds, p.lines) if k is None for w in tokens(line)]
         n.update(ws)
-        if not any(p.kinds):
+        if not scanned(p):
             clean.update(ws)
     return frozenset(w for w, c in n.items() if c >= FREQUENT and clean[w] >= min_share * c and not any(ch in INTRUDERS for ch in w))
 
@@ -304,8 +313,8 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
 
     1. Lines: a boosted classifier over pairs of neighbouring lines, fitted on weak labels of SAMPLE_ROWS rows, tells headers and
        page numbers from text.
-    2. Words: all rows' types are counted, in rows with page furniture and without. A type that stands in the others too (at
-       least `min_share` of its uses) or often is trusted. For the rest, trusted types sharing character q-grams are retrieved by
+    2. Words: all rows' types are counted, in rows with signs of a scanned page and without. A type that stands in the others too
+       (at least `min_share` of its uses) or often is trusted. For the rest, and for types of RARE uses at most, trusted types sharing character q-grams are retrieved by
        an inverted join; a boosted ranking, fitted on words misread on purpose, chooses the replacement or none.
     3. Joints: a word broken across lines, page furniture between them passed over, is joined where the joined form is known
        better than the hyphenated one, both looked up by skeleton so that misread parts count.
@@ -326,8 +335,8 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
             types: Counter = Counter()
             for o, t, c in zip(f["ord"], f["title"], f["content"]):
                 p = parse(t if isinstance(t, str) else None, c, model)
-                scanned = any(p.kinds)
-                out += [(o, k, x, None, None, None, 0, scanned) for k, x in enumerate(p.kinds) if x]
+                of_page = scanned(p)
+                out += [(o, k, x, None, None, None, 0, of_page) for k, x in enumerate(p.kinds) if x]
                 cut = {(a, "end") for a, *_ in p.joints} | {(b, "start") for *_, b, _ in p.joints}
                 for k, line in enumerate(p.lines):
                     if p.kinds[k] is None and line.strip():
@@ -337,10 +346,10 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
                         if (k, "end") in cut:
                             ws = ws[:-1]
                         for w in tokens(" ".join(ws)):
-                            types[w, scanned] += 1
+                            types[w, of_page] += 1
                             if w not in common:
-                                out.append((o, k, "word", w, None, None, 0, scanned))
-                out += [(o, a, "joint", first, second, mark + str(b - a), 0, scanned) for a, first, mark, b, second in p.joints]
+                                out.append((o, k, "word", w, None, None, 0, of_page))
+                out += [(o, a, "joint", first, second, mark + str(b - a), 0, of_page) for a, first, mark, b, second in p.joints]
             out += [(None, None, "type", w, None, None, n, s) for (w, s), n in types.items()]
             yield pd.DataFrame(out, columns=["ord", "line_no", "kind", "a", "b", "c", "n", "scanned"]).astype({"ord": "Int64", "line_no": "Int64"})
 
@@ -366,13 +375,13 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
 
     # retrieval of candidates: rare q-grams first would do, but types are few next to texts, so all q-grams are joined and counted
     gram = F.pandas_udf(lambda s: s.map(lambda w: sorted(_grams(w))), "array<string>")
-    doubtful = types.where((~F.col("trusted")) & (F.length("w") >= 2) & (F.length("w") <= 40)).select("w", "n")
+    doubtful = types.where((~F.col("trusted") | (F.col("n") <= RARE)) & (F.length("w") >= 2) & (F.length("w") <= 40)).select("w", "n")
     # broken words of no known form are looked up like any other type
     unknown = joint.where("form IS NULL AND length(w) BETWEEN 2 AND 40").groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(types.select("w"), "w", "left_anti")
     doubtful = materialize(doubtful.unionByName(unknown), "doubtful")
     left = doubtful.withColumn("gs", gram("w")).select("w", "n", F.size("gs").alias("size"), F.explode("gs").alias("g"))
     right = trusted.where("n >= 2").withColumn("gs", gram("w")).select(F.col("w").alias("o"), F.col("n").alias("m"), F.explode("gs").alias("g"))
-    met = left.join(right, "g").where(F.abs(F.length("w") - F.length("o")) <= 3).groupBy("w", "n", "size", "o", "m").agg(F.count(F.lit(1)).alias("shared"))
+    met = left.join(right, "g").where(F.abs(F.length("w") - F.length("o")) <= 3).where("w != o").groupBy("w", "n", "size", "o", "m").agg(F.count(F.lit(1)).alias("shared"))
     # a misread pair of characters takes q + 1 q-grams at most, two of them twice as many
     met = met.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("size") * 0.25)))
 
@@ -385,9 +394,11 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
     scored = met.mapInPandas(rank, "w string, o string, m bigint, score double").where("score >= 0.5")
     # the skeleton finds what a short word's few q-grams can't
     own = doubtful.withColumn("k", sk("w")).join(trusted.where("n >= 2").withColumn("k", sk("w")).select("k", F.col("w").alias("o"), F.col("n").alias("m")), "k")
-    own = own.where(F.col("m") > F.col("n")).select("w", "o", "m", F.lit(0.5).alias("score"))
+    own = own.where((F.col("m") > F.col("n")) & (F.col("w") != F.col("o"))).select("w", "o", "m", F.lit(0.5).alias("score"))
     fixes = scored.unionByName(own).groupBy("w").agg(F.max_by("o", F.struct("score", "m", "o")).alias("fix"))
     fixes = materialize(fixes, "fixes")
+    again = fixes.select(F.col("w").alias("fix"), F.col("fix").alias("further"))  # a rare replacement may be misread itself
+    fixes = materialize(fixes.join(again, "fix", "left").select("w", F.coalesce("further", "fix").alias("fix")).where("w != fix"), "fixes")
 
     words = read_.where("kind = 'word'").select("ord", "line_no", F.col("a").alias("w")).join(fixes, "w")
     wrong = words.select("ord", "line_no").distinct().withColumn("kind", F.lit("misread"))

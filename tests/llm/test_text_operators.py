@@ -198,6 +198,15 @@ def test_repaired_text_has_paragraphs_without_furniture(spark):
     assert P.repaired(None, "by group-\nand council-wide", [(0, "hyphen", "group", None, 1)]) == "by group- and council-wide"
 
 
+def test_rare_misreads_of_rows_without_furniture_are_found(spark):
+    rows, _ = corpus()
+    rows += [(910, "t", "Members should consider the rcport."), (911, "t", "The asscmbly went into dcbate."), (912, "t", "Members should consider the dcbate.")]
+    df = spark.createDataFrame(rows, "ord long, title string, content string")
+    scan = P.repair(df)
+    assert {(r["ord"], r["line_no"], r["kind"]) for r in scan.parts.where("ord >= 910").collect()} == {(k, 0, "misread") for k in (910, 911, 912)}
+    assert {("rcport", "report"), ("asscmbly", "assembly"), ("dcbate", "debate")} <= {(r["w"], r["fix"]) for r in scan.fixes.collect()}
+
+
 def test_subjects_held_out(spark):
     r = random.Random(2)
     vocab = {"sea": "anchor harbour vessel reef tide sailor mast cargo".split(), "farm": "barley plough harvest cattle orchard fodder silo meadow".split(), "law": "tribunal verdict statute bench appeal notary decree clause".split()}
