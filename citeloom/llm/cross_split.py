@@ -77,13 +77,26 @@ def bipartite_links(index: DataFrame, probe: DataFrame, least: float) -> DataFra
     return jaccard_at_least(pairs, sets, "a", "b", least)
 
 
+def same_key(classes: DataFrame, cell: int = 1 << 20) -> DataFrame:
+    """(a, b): classes of eval and of train that have one key, of classes (key, class, side). Keys of more than `cell` pairs are
+    salted: their eval classes are dealt out to tasks and their train classes go to each of these."""
+    classes = materialize(classes, "keyed")
+    sizes = classes.groupBy("key").agg(F.count_if(F.col("side") == "eval").alias("e"), F.count_if(F.col("side") == "train").alias("t")).where("e > 0 AND t > 0")
+    sizes = sizes.select("key", F.least(F.ceil(F.col("e") * F.col("t") / cell), F.lit(512)).cast("int").alias("salts"))
+    dealt = classes.join(sizes, "key")
+    left = dealt.where("side = 'eval'").select("key", F.col("class").alias("a"), F.expr("CAST(pmod(class, salts) AS int)").alias("salt"))
+    right = dealt.where("side = 'train'").select("key", F.col("class").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["key", "salt"]).select("a", "b")
+
+
 def overlaps(rows: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
     """(eval_id, train_id, how): rows of val or test that stand in train too. how: key, text.
 
     rows: id, key, text, split (train, val, test; anything else and null take no part). Extra columns aren't read. Rows agree by
     key if their keys are equal and not null, by text if the sets of n-word sequences share at least `least` of their union.
-    Equal texts are one class, so copies are compared once; where copies of two classes make more than EXPAND pairs, or a key
-    is as frequent, each copy comes with the other side's representative instead of with every copy.
+    Equal texts are one class, so copies are compared once; where copies of two classes make more than EXPAND pairs, each copy
+    comes with the other side's representative instead of with every copy. By key, only rows of equal key and text are a class,
+    so rows of one key with different texts all come out as pairs, however frequent the key.
     """
     rows = materialize(rows.where("split IN ('train', 'val', 'test')").select("id", "key", "text", F.when(F.col("split") == "train", "train").otherwise("eval").alias("side")), "rows")
     sets = materialize(shingle_sets(rows, "id", F.col("text"), n).join(rows.select("id", "side"), "id"), "sets")
@@ -94,8 +107,8 @@ def overlaps(rows: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
         return materialize(own.join(own.groupBy("class").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n")), "class"), "side")
 
     keyed = rows.where("key IS NOT NULL AND key != ''")
-    ke, kt = side(keyed, ["key"], "eval"), side(keyed, ["key"], "train")
-    same = ke.select(F.col("class").alias("a")).distinct().join(kt.select(F.col("class").alias("a")).distinct(), "a").select("a", F.col("a").alias("b"))
+    ke, kt = side(keyed, ["key", "text"], "eval"), side(keyed, ["key", "text"], "train")
+    same = same_key(keyed.select("key", F.xxhash64("key", "text").alias("class"), "side").distinct())
     by_key = expand(same, ke, kt).withColumn("how", F.lit("key"))
 
     te, tt = side(sets, ["h1", "h2"], "eval"), side(sets, ["h1", "h2"], "train")

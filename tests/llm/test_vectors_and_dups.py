@@ -125,3 +125,17 @@ def test_cross_split_equals_brute_force(spark, texts):
     want |= {(e[0], t[0], "text") for e in ev for t in tr if e[2] and t[2] and sh(e[2]) and jac(sh(e[2]), sh(t[2])) >= 0.6}
     assert got == want
     assert C.overlaps(df.limit(0)).count() == 0
+
+
+def test_a_hot_key_gives_all_pairs_of_different_texts(spark):
+    rows = [(k, "hot", f"a{k} b{k} c{k} d{k}" if k % 7 else None, "train" if k % 2 else "val") for k in range(142)]
+    rows += [(1000 + k, "copies", "one two three four", "train" if k % 2 else "test") for k in range(140)] + [(2000, "copies", "x y z", "test")]
+    df = spark.createDataFrame(rows, "id long, key string, text string, split string").withColumn("class", F.lit("clash")).withColumn("salts", F.lit("clash"))
+    got = {(x["eval_id"], x["train_id"]) for x in C.overlaps(df).where("how = 'key'").collect()}
+    hot = {(x, y) for x, y in got if x < 1000}
+    assert hot == {(e, t) for e in range(0, 142, 2) for t in range(1, 142, 2)} and len(hot) > 4096
+    copies = got - hot
+    assert {e for e, _ in copies} == {1000 + k for k in range(0, 140, 2)} | {2000} and {t for _, t in copies} == {1000 + k for k in range(1, 140, 2)}
+    assert {(2000, 1000 + k) for k in range(1, 140, 2)} <= copies
+    small = spark.createDataFrame([("k", k, "eval" if k < 30 else "train") for k in range(70)], "key string, class long, side string")
+    assert {tuple(x) for x in C.same_key(small, cell=100).collect()} == {(a, b) for a in range(30) for b in range(30, 70)}
