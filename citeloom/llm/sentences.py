@@ -247,6 +247,9 @@ def learn(docs: DataFrame) -> Model:
     return model
 
 
+_SPACE = re.compile(r"\s*")
+
+
 def ends(text: str, model: Model) -> list[int]:
     """End of each sentence of text, in code points from its beginning."""
     out: list[int] = []
@@ -260,7 +263,8 @@ def ends(text: str, model: Model) -> list[int]:
                 break
             mark = m.group()
             c = mark[0]
-            nxt = par[e : e + 40].lstrip()
+            at = _SPACE.match(par, e).end()
+            nxt = par[at : at + 40]
             if not nxt:
                 break
             n0 = nxt[0]
@@ -270,7 +274,7 @@ def ends(text: str, model: Model) -> list[int]:
                     if lang == "ja":
                         if n0 in _JA_ON:
                             continue
-                    elif par[begin : m.start()].lstrip()[:1] in "“‘「『" and _ZH_SPEECH.match(par[e : e + 60].lstrip()):
+                    elif par[begin : m.start()].lstrip()[:1] in "“‘「『" and _ZH_SPEECH.match(par[at : at + 60]):
                         continue
                 if n0 in CLOSERS + ",，、;；":
                     continue

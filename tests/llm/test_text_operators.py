@@ -109,6 +109,13 @@ def test_sentences(spark):
     assert S.split_sentences(df.limit(0)).count() == 0
 
 
+def test_wide_spaces_after_a_mark_lose_no_sentence():
+    gap = " " * 60
+    text = f"The vote was taken.{gap}The list is open.\n{gap}The text was read."
+    cuts = [0, *S.ends(text, S.Model())]
+    assert [text[a:b].strip() for a, b in zip(cuts, cuts[1:])] == ["The vote was taken.", "The list is open.", "The text was read."]
+
+
 def test_residue(spark):
     body = "The assembly took note of the coral nursery and asked the wardens to keep the list of reefs under review until the next session of the board."
     rows = [(0, "Convention on the coral nursery", "https://h/coral-nursery", "Adopted in 1950", body), (1, "T one", "https://h/t", None, "Error 404\nThe page you were looking for does not exist."),
