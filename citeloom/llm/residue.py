@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.runtime import table
+from citeloom.llm.literals import needed_literals
+from citeloom.runtime import materialize, table
 
 #: Notations of placeholders that a template engine or an editor should have filled.
 _FIELD = r"[\w .:\-]{1,60}?"
@@ -53,21 +55,47 @@ MARKS = [
     r"\bunable to locate element\b", r"\btraceback \(most recent call last\)", r"\bstack ?trace:", r"\bno such element\b", r"\bnet::err_\w+", r"\b(?:max retries exceeded|read timed out)\b",
 ]
 _PLACE = re.compile("|".join(PLACEHOLDERS))
-_FILL = re.compile("|".join(FILLER), re.I)
-_BAD = re.compile("|".join([*ERRORS, *NOTICES, *MARKS]), re.I)
-_MARK = re.compile("|".join(MARKS), re.I)
+_MAY_PLACE = re.compile(r"[{\[<@%«]|__|XX|\(")
 #: Words that any sentence of some length holds, by language; filler has none of them.
 COMMON = set("the of and to in that is was for with by on not from at which be as it are were has had a an or this its their shall le la les des du et un une dans pour que qui par sur au aux est el los del y en para con se su der die das und den von zu mit ist не в и на по с что к из о от за को के की में से और है का".split())
 _WORD = re.compile(r"\w+")
 _CASED = re.compile(r"[A-Za-zÀ-ɏ]{2,}")
 _SENTENCE = re.compile(r"\n+|(?<=[.!?…。！？])\s+|\s\|\s")
-LONG_WORDS = 40  # an error page or notice has no more words than this
-SHORT_WORDS = 25  # a page with fewer words beside what detectors found, none on its subject, has no real content
-REPEATED = 3
+_ADOPTED = re.compile(r"(?i)\W*(?:adopted|proclaimed|signed|opened|approved|entered)\b")
+FEW_WORDS = 8  # so few words beside what detectors found are no content
+SHORT_WORDS = 25  # nor are so few, or fewer than what was found, if none is on the subject and no sentence has a name
+FURNITURE = 5  # titles of a host on whose pages a line stands beside others; from so many on it is the host's, not the page's
+REPEATED = 3  # titles of a host that have one body
+SALTS = 32  # tasks that the rows of one frequent line or body are dealt out to
+#: The most frequent of COMMON; a passage with enough of these alone is no filler.
+_OFTEN = (" the ", " of ", " and ", " to ", " in ", " for ")
+
+
+class Detector:
+    """Patterns, each searched for only in passages that hold one of the literals which any match of it must contain."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        literals = [needed_literals(p, re.I) for p in patterns]
+        self.gated = re.compile("|".join(p for p, x in zip(patterns, literals) if x), re.I)
+        bare = [p for p, x in zip(patterns, literals) if not x]
+        self.bare = re.compile("|".join(bare), re.I) if bare else None
+        self.words = ahocorasick.Automaton()
+        for w in {w for x in literals for w in x}:
+            self.words.add_word(w, len(w))
+        self.words.make_automaton()
+
+    def marks(self, low: str) -> list[int]:
+        """Places in a lower-case text where a literal begins, in order."""
+        return sorted({end - size + 1 for end, size in self.words.iter(low)})
+
+    def hit(self, passage: str, gate: bool) -> bool:
+        return gate and self.gated.search(passage) is not None or self.bare is not None and self.bare.search(passage) is not None
 
 
-def _mask(line: str) -> str:
-    return re.sub(r"\b[0-9a-f]*\d[0-9a-f\-]*\b", "#", unicodedata.normalize("NFKC", line).strip().lower())
+@lru_cache(1)
+def detectors() -> tuple[Detector, Detector, Detector]:
+    """Of filler; of errors, notices and marks; of marks alone."""
+    return Detector(FILLER), Detector([*ERRORS, *NOTICES, *MARKS]), Detector(MARKS)
 
 
 def _terms(*texts: str | None) -> set[str]:
@@ -85,6 +113,11 @@ GENERIC = {w[:6] for w in "convention declaration principles protocol optional g
 
 def is_filler(text: str) -> bool:
     """Whether a passage of eight or more Latin words has no common word of any language, or repeats a handful of words."""
+    if text.count(" ") < 7:
+        return False
+    low = text.lower()
+    if sum(low.count(w) for w in _OFTEN) > 0.02 * (text.count(" ") + 1):
+        return False
     w = [x.lower() for x in _CASED.findall(text)]
     if len(w) < 8:
         return False
@@ -92,92 +125,163 @@ def is_filler(text: str) -> bool:
     return common == 0 or (common <= 0.02 * len(w) and len(set(w)) < 0.6 * len(w))
 
 
-_MAY_PLACE = re.compile(r"[{\[<@%«]|__|XX|\(")
-
-
 def _has_place(text: str) -> bool:
     """Whether a placeholder stands in the text; most texts hold none of the characters that one needs."""
     return _MAY_PLACE.search(text) is not None and _PLACE.search(text) is not None
 
 
-def judge(title: str | None, url: str | None, adopted: str | None, content: str | None, furniture: set[str], repeats: int) -> str | None:
-    """Why a row has no real page, or None. furniture: masked lines that many rows share; repeats: titles that share the body."""
-    if adopted is not None:
-        a = adopted.strip()
-        if _PLACE.search(a):
-            return "placeholder"
-        if _MARK.search(a) or (len(a) < 300 and (_BAD.search(a) or _FILL.search(a)) and not re.match(r"(?i)\W*(?:adopted|proclaimed|signed|opened|approved|entered)\b", a)):
-            return "failure mark"
-    if content is None or not content.strip():
+def _speaks_of(low: str, topic: set[str]) -> bool:
+    """Whether a word of a lower-case text begins with one of the stems."""
+    for t in topic:
+        at = low.find(t)
+        while at >= 0:
+            if at == 0 or not (low[at - 1].isalnum() or low[at - 1] == "_"):
+                return True
+            at = low.find(t, at + 1)
+    return False
+
+
+def _passages(text: str) -> Iterator[tuple[int, str]]:
+    """(place, passage) of the sentences of a text, blank ones left out."""
+    at = 0
+    for m in [*_SENTENCE.finditer(text), None]:
+        end = m.start() if m else len(text)
+        if (piece := text[at:end]).strip():
+            yield at, piece
+        at = m.end() if m else end
+
+
+def _judged(text: str) -> list[tuple[str, bool, bool]]:
+    """(passage, filler found, error or notice or mark found) of a text's sentences."""
+    fill, bad, _ = detectors()
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer: places don't agree
+        return [(x, fill.hit(x, True), bad.hit(x, True)) for _, x in _passages(text)]
+    marks, out = (fill.marks(low), bad.marks(low)), []
+    at = [0, 0]
+    for begin, x in _passages(text):
+        gate = []
+        for k in (0, 1):
+            while at[k] < len(marks[k]) and marks[k][at[k]] < begin:
+                at[k] += 1
+            gate.append(at[k] < len(marks[k]) and marks[k][at[k]] < begin + len(x))
+        out.append((x, fill.hit(x, gate[0]), bad.hit(x, gate[1])))
+    return out
+
+
+def adopted_reason(text: str | None) -> str | None:
+    """Why the field of adoption holds no real text, or None. A text of adoption may speak of errors among other things."""
+    a = (text or "").strip()
+    if not a:
         return None
-    if _has_place(content):
+    if _has_place(a):
         return "placeholder"
-    slug = (url or "").rstrip("/").rsplit("/", 1)[-1]
-    topic = _terms(title, slug) - GENERIC
-    head = _mask(title or "")
-    lines = [x for x in content.split("\n") if x.strip()]
-    body = [x for x in lines if _mask(x) not in furniture and _mask(x) != head]
-    filler = sum(len(x.split()) for x in body if is_filler(x))
-    size = sum(len(x.split()) for x in body)
-    if filler and filler >= 0.3 * size:
-        return "filler"
-    if size > LONG_WORDS:
-        return None
-    parts = [x for y in body for x in _SENTENCE.split(y) if x.strip()]
-    stems = [{w[:6] for w in _WORD.findall(x.lower())} & topic for x in parts]
-    bad = [bool(_BAD.search(x) or _FILL.search(x)) for x in parts]
-    real = [x for x, hit in zip(parts, bad) if not hit]
-    left = sum(len(x.split()) for x in real)
-    on_topic = any(t for t, hit in zip(stems, bad) if not hit)
-    found = any(hit and not t for hit, t in zip(bad, stems)) or any((_BAD.search(x) or _FILL.search(x)) for x in lines if _mask(x) in furniture or len(x.split()) < SHORT_WORDS)
-    if found and (left < 8 or left < SHORT_WORDS and not on_topic):
-        return "error or notice" if any(_BAD.search(x) for x in lines) else "filler"
-    if not body:
-        return "no content" if len(lines) > 0 and all(_mask(x) in furniture for x in lines) else None
-    if repeats >= REPEATED and not on_topic:
-        inner = [w for x in body for s in re.split(r"[.!?:]\s+", x) for w in s.split()[1:]]
-        named = any(w[:1].isupper() and not w.isupper() for w in inner)
-        if not named:
-            return "repeated response"
+    said = _judged(a)
+    if detectors()[2].hit(a, True):
+        return "failure mark"
+    bad = sum(len(x.split()) for x, f, b in said if f or b)
+    left = sum(len(x.split()) for x, f, b in said if not (f or b))
+    if bad and not _ADOPTED.match(a) and (left < FEW_WORDS or left < bad):
+        return "failure mark"
     return None
 
 
+#: Facts of a line: its number, words, words of filler, words of passages in which a detector hit; whether one hit, whether one
+#: hit a passage that has no term of the subject, whether an error, notice or mark did, whether a passage without hits has a
+#: term of the subject, whether such a passage names somebody or something.
+LINE = "struct<k: int, words: int, filler: int, bad: int, hit: boolean, off: boolean, error: boolean, topic: boolean, named: boolean>"
+
+
+def _named(passage: str) -> bool:
+    """Whether a sentence has a name inside; a line of which most words are capitalised is a heading or a menu."""
+    ws = [w for x in re.split(r"[.!?:]\s+", passage) for w in x.split()[1:]]
+    names = sum(w[:1].isupper() and not w.isupper() for w in ws)
+    return 0 < names <= 0.5 * len(ws) and len(ws) >= 4
+
+
+def line_facts(title: str | None, url: str | None, content: str) -> list[tuple]:
+    """The facts of each line that isn't blank; none for a page that speaks of its subject and in which nothing was found."""
+    topic = _terms(title, (url or "").rstrip("/").rsplit("/", 1)[-1]) - GENERIC
+    lines = content.split("\n")
+    filler = [len(x.split()) if is_filler(x) else 0 for x in lines]
+    out, said = [], []
+    for x in lines:
+        said.append(_judged(x))
+    if not any(filler) and not any(f or b for ps in said for _, f, b in ps) and _speaks_of(content.lower(), topic):
+        return []
+    for k, (x, fill, ps) in enumerate(zip(lines, filler, said)):
+        if not x.strip():
+            continue
+        hits = [(p, f or b, _speaks_of(p.lower(), topic)) for p, f, b in ps]
+        out.append((k, len(x.split()), fill, sum(len(p.split()) for p, h, _ in hits if h), any(h for _, h, _ in hits), any(h and not t for _, h, t in hits), any(b for _, _, b in ps), any(t and not h for _, h, t in hits), any(_named(p) for p, h, _ in hits if not h)))
+    return out
+
+
+def _masked(c: Column | str) -> Column:
+    """Lower case, numbers and hexadecimal codes as one sign."""
+    return F.regexp_replace(F.lower(c), r"\b[0-9a-f]*\d[0-9a-f\-]*\b", "#")
+
+
 def find_residue(pages: DataFrame) -> DataFrame:
     """(ord, reason) of the rows of pages (ord, title, url, adopted_by, content) without a real page.
 
-    Three kinds of evidence are combined: detectors of placeholders, filler, error pages, notices and failure marks; whether what
-    remains of the page speaks of the terms of its title and address; and how many rows of other titles share its lines
-    (furniture) and its body (a repeated response), numbers masked. A text that speaks of errors or scripts among other things
-    of its subject is none. Null, empty and blank fields are no case. Rows collected twice are judged alike.
-
-    The counts are made over short bodies of the whole table, whose lines are grouped after partial sums; furniture, lines on at
-    least 0.2 % of the rows, numbers at most some thousands whatever the table's size, and is broadcast.
+    Three kinds of evidence are combined. Detectors find placeholders, filler, error pages, notices and failure marks, sentence by
+    sentence. Each sentence is compared with the terms of the title and of the address's last part. Per host of the address it is
+    counted how many titles have a line beside others (FURNITURE titles make it the host's own) and how many have the body (REPEATED titles make it
+    a response that isn't the page's), numbers masked. A page is residue whose own lines hold a finding and beside it FEW_WORDS words
+    at most, or nothing on the subject, no name and fewer words than what was found (SHORT_WORDS at least), however long it is; or that
+    is all furniture; or that has a repeated body without a name or a term of its subject. A text that speaks of errors or scripts among
+    other things of its subject is none. Null, empty and blank fields are no case. Rows without an address have one host, rows of
+    null ord take no part, equal rows of one ord come out once.
+
+    No text is shuffled: counts are of hashes, and after one pass over the texts only facts of lines travel, of the pages alone that
+    a finding or a missing subject leaves open. Lines and bodies that many rows share are salted.
     """
-    spark = pages.sparkSession
     kind = pages.schema["ord"].dataType.simpleString()
-    rows = pages.select("ord", "title", "url", "adopted_by", "content")
-    masked = F.regexp_replace(F.lower(F.trim("content")), r"\b[0-9a-f]*\d[0-9a-f\-]*\b", "#")
-    short = rows.where("content IS NOT NULL AND length(content) < 600").select("title", masked.alias("body"), F.col("content"))
-    total = rows.count()
-    line = F.explode(F.array_distinct(F.split("body", "\n"))).alias("line")
-    per_line = short.select(F.xxhash64("title").alias("t"), line).select(F.trim("line").alias("line"), "t").where("line != ''")
-    common = per_line.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(REPEATED + 2, total * 0.002))
-    furniture = {_mask(r[0]) for r in common.collect()}
-    furniture = {x for x in furniture if not _BAD.search(x) and not _FILL.search(x) and not _PLACE.search(x)}
-    bodies = short.groupBy(F.xxhash64("body").alias("b")).agg(F.count_distinct("title").alias("repeats")).where(F.col("repeats") >= REPEATED)
-    held = rows.withColumn("b", F.when(F.length("content") < 600, F.xxhash64(masked))).join(bodies, "b", "left").drop("b")
-    known = spark.sparkContext.broadcast(furniture)
-    # judging costs far more than reading: as many tasks as cores and rows ask for, whatever the bytes
-    held = held.repartition(max(2 * spark.sparkContext.defaultParallelism, total // 50_000))
+    rows = pages.where("ord IS NOT NULL").select("ord", "title", "url", "adopted_by", "content")
+    host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit(""))
+    hashed = F.transform(F.split(_masked("content"), "\n"), lambda x: F.xxhash64(F.trim(x)))
+    src = rows.withColumns({"host": F.xxhash64(F.lower(host)), "head": F.xxhash64(F.trim(_masked(F.coalesce("title", F.lit(""))))), "hashes": hashed})
+    src = src.withColumns({"page": F.xxhash64("title", "url", "adopted_by", "content"), "name": F.xxhash64("title")})
+
+    per_line = src.where(F.size(F.array_distinct("hashes")) > 1).select("host", "name", F.explode(F.array_distinct("hashes")).alias("line")).distinct()
+    furniture = per_line.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FURNITURE).select("host", "line", F.lit(True).alias("furniture"))
+    body = F.xxhash64("hashes")
+    bodies = src.where("content IS NOT NULL").select("host", "name", body.alias("body")).distinct().groupBy("host", "body").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATED).select("host", "body", F.lit(True).alias("repeated"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f.astype(object).where(f.notna(), None)
-            why = [judge(t, u, a, c, known.value, int(n or 0)) for t, u, a, c, n in zip(f["title"], f["url"], f["adopted_by"], f["content"], f["repeats"])]
-            out = pd.DataFrame({"ord": f["ord"], "reason": why})
-            yield out[out["reason"].notna()]
-
-    return held.mapInPandas(run, f"ord {kind}, reason string")
+            out = []
+            for o, t, u, a, c, page in zip(f["ord"], f["title"], f["url"], f["adopted_by"], f["content"], f["page"]):
+                t, u, a, c = (x if isinstance(x, str) else None for x in (t, u, a, c))
+                why = adopted_reason(a) or ("placeholder" if c and _has_place(c) else None)
+                facts = line_facts(t, u, c) if why is None and c and c.strip() else []
+                if why or facts:
+                    out.append((o, page, why, facts))
+            yield pd.DataFrame(out, columns=["ord", "page", "reason", "facts"])
+
+    texts = src.select("ord", "title", "url", "adopted_by", "content", "page")
+    open_ = materialize(texts.mapInPandas(run, f"ord {kind}, page bigint, reason string, facts array<{LINE}>").dropDuplicates(["ord", "page"]), "pages")
+    narrow = src.select(F.col("ord").alias("__o"), F.col("page").alias("__p"), "host", "head", "hashes")
+    undecided = open_.where("reason IS NULL").join(narrow, (F.col("ord") == F.col("__o")) & (F.col("page") == F.col("__p"))).drop("__o", "__p").dropDuplicates(["ord", "page"])
+    salt = F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")
+    dealt = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    undecided = undecided.withColumn("salt", salt).withColumn("body", body).join(dealt(bodies), ["host", "body", "salt"], "left")
+    lines = undecided.select("ord", "page", "host", "head", "repeated", "salt", "hashes", F.inline("facts"))
+    lines = lines.withColumn("line", F.get("hashes", F.col("k"))).drop("hashes").join(dealt(furniture), ["host", "line", "salt"], "left")
+    shared = F.coalesce("furniture", F.lit(False))
+    own = ~(shared & ~F.col("hit")) & (F.col("line") != F.col("head"))
+    total = lambda c: F.sum(F.when(own, F.col(c)).otherwise(0))
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
+    facts = lines.groupBy("ord", "page").agg(
+        total("words").alias("size"), total("filler").alias("filler"), total("bad").alias("bad"), any_(own & F.col("off") | F.col("hit") & (shared | (F.col("words") < SHORT_WORDS))).alias("found"),
+        any_("error").alias("error"), any_(own & F.col("topic")).alias("topic"), any_(own & F.col("named")).alias("named"), any_(own).alias("own"), any_(~shared).alias("unshared"), any_(F.col("repeated")).alias("repeated"))
+    left = F.col("size") - F.col("bad")
+    low = (left < FEW_WORDS) | (~F.col("topic") & ~F.col("named") & (left < F.greatest(F.lit(SHORT_WORDS), F.col("bad"))))
+    reason = (F.when((F.col("filler") > 0) & (F.col("filler") >= 0.3 * F.col("size")), "filler").when(F.col("found") & low, F.when(F.col("error"), "error or notice").otherwise("filler"))
+              .when(~F.col("own"), F.when(~F.col("unshared"), "no content")).when(F.col("repeated") & ~F.col("topic") & ~F.col("named"), "repeated response"))
+    judged = facts.select("ord", reason.alias("reason")).where("reason IS NOT NULL")
+    return open_.where("reason IS NOT NULL").select("ord", "reason").unionByName(judged)
 
 
 def _pages(spark: SparkSession, root: str) -> DataFrame:

@@ -127,6 +127,41 @@ def test_residue(spark):
     assert R.find_residue(df.limit(0)).count() == 0
 
 
+def test_residue_of_any_length_and_evidence_of_hosts(spark):
+    error = "Error 404: the page you were looking for does not exist. Contact the administrator and retry after a while. Request id 8f03-11a2."
+    real = "The wardens of Morvia asked that the coral nursery be kept under review, and the harbour board sent {k} divers to it. "
+    rows, want = [], set()
+    for k, n in enumerate((50, 100, 300)):
+        rows.append((k, f"Title of number {k}", f"https://a/{k}", None, " ".join([error] * (n // 20))))
+        rows.append((10 + k, f"Title of number {k}", f"https://a/{k}", None, "Please enable JavaScript in your browser.\n" * (n // 6)))
+        text = " ".join(real.format(k=j) for j in range(n // 20))
+        rows.append((20 + k, "Convention on coral nurseries", f"https://a/{k}", None, text + " An error of judgement is no error 404, and the page was not found in 12 houses."))
+        rows.append((30 + k, "x", f"https://a/{k}", "Adopted on 3 May 1950 " + text + " with no access denied", text))
+        want |= {k, 10 + k}
+    # a menu line of one host: alone on a page it is no content there, on another host it is a page's own line
+    menu = "Texts of the archive and of its branches in all six sectors"
+    rows += [(100 + k, f"Reefs {k}", f"https://b/reefs-{k}", None, f"{menu}\n{real.format(k=k)}") for k in range(6)]
+    rows += [(110, "Tides", "https://b/tides", None, f"{menu}\n{menu}"), (111, "Tides", "https://c/tides", None, f"{menu}\n{menu}")]
+    # one body under many titles of a host speaks of none of them; under titles of other hosts it is a text of its own
+    rows += [(120 + k, f"Statute {w}", f"https://d/statute-{w}", None, "for details see the list kept with the papers of this house on its second floor") for k, w in enumerate(("salt", "wheat", "rope"))]
+    rows += [(130 + k, f"Statute {w}", f"https://{w}/statute-{w}", None, "for details see the list kept with the papers of this house on its first floor") for k, w in enumerate(("salt", "wheat", "rope"))]
+    rows += [(None, "x", "u", "ERROR", None), (1, "Title of number 1", "https://a/1", None, " ".join([error] * 5))]
+    df = spark.createDataFrame(rows, "ord long, title string, url string, adopted_by string, content string").withColumn("host", F.lit("clash"))
+    assert sorted(r["ord"] for r in R.find_residue(df).collect()) == sorted(want | {110, 120, 121, 122})
+
+
+def test_detectors_find_what_their_patterns_find():
+    from citeloom.llm.literals import needed_literals
+
+    assert needed_literals(r"\b(?:not found|gone)\b x?") == {"not found", "gone"} and needed_literals(r"a?\d+") == set()
+    r = random.Random(3)
+    texts = ["Page not found", "Reference: ab12cd34", "NET::ERR_TIMED", "xxx xx xx", "502 Bad gateway", "tbd", "the wardens met", "Vérifiez; activez le JavaScript svp", "ПОЖАЛУЙСТА, ВКЛЮЧИТЕ JAVASCRIPT"]
+    for patterns, d in zip((R.FILLER, [*R.ERRORS, *R.NOTICES, *R.MARKS]), R.detectors()):
+        plain = [R.re.compile(p, R.re.I) for p in patterns]
+        for t in texts + [" ".join(r.sample("error page you requested has been moved lorem ipsum script robot human verify 404 enable".split(), 5)) for _ in range(300)]:
+            assert d.hit(t, bool(d.marks(t.lower()))) == any(p.search(t) for p in plain), t
+
+
 def test_boosting_learns_an_interaction():
     r = np.random.default_rng(0)
     x = r.random((2000, 4))
