@@ -1,12 +1,4 @@
 """Operators that prepare training data for language models. Nothing outside this subpackage imports it."""
 
-from __future__ import annotations
-
-import importlib
-
-_NAMES = ["similar_vectors", "subjects", "scan_repair", "near_duplicates", "cross_split", "residue", "leakage", "mixing", "sentences"]
-
-
-def query_modules() -> list:
-    """The modules with QUERIES and SQL."""
-    return [importlib.import_module(f"citeloom.llm.{n}") for n in _NAMES]
+#: The modules with QUERIES and SQL.
+NAMES = ["similar_vectors", "subjects", "scan_repair", "near_duplicates", "cross_split", "residue", "leakage", "mixing", "sentences"]

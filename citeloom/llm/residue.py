@@ -75,21 +75,26 @@ class Detector:
     """Patterns, each searched for only in passages that hold one of the literals which any match of it must contain."""
 
     def __init__(self, patterns: list[str]) -> None:
-        literals = [needed_literals(p, re.I) for p in patterns]
-        self.gated = re.compile("|".join(p for p, x in zip(patterns, literals) if x), re.I)
-        bare = [p for p, x in zip(patterns, literals) if not x]
-        self.bare = re.compile("|".join(bare), re.I) if bare else None
+        self.each = [re.compile(p, re.I) for p in patterns]
+        asked: dict[str, list[int]] = {}
+        for k, p in enumerate(patterns):
+            for w in needed_literals(p, re.I):
+                asked.setdefault(w, []).append(k)
+        self.bare = [x for k, x in enumerate(self.each) if not any(k in v for v in asked.values())]
         self.words = ahocorasick.Automaton()
-        for w in {w for x in literals for w in x}:
-            self.words.add_word(w, len(w))
+        for w, ks in asked.items():
+            self.words.add_word(w, (len(w), ks))
         self.words.make_automaton()
 
-    def marks(self, low: str) -> list[int]:
-        """Places in a lower-case text where a literal begins, in order."""
-        return sorted({end - size + 1 for end, size in self.words.iter(low)})
+    def marks(self, low: str) -> list[tuple[int, list[int]]]:
+        """Where in a lower-case text a literal begins and which patterns need it, in order of place."""
+        return sorted((end - size + 1, ks) for end, (size, ks) in self.words.iter(low))
 
-    def hit(self, passage: str, gate: bool) -> bool:
-        return gate and self.gated.search(passage) is not None or self.bare is not None and self.bare.search(passage) is not None
+    def hit(self, passage: str, asked: set[int]) -> bool:
+        return any(self.each[k].search(passage) for k in asked) or any(x.search(passage) for x in self.bare)
+
+    def finds(self, text: str) -> bool:
+        return self.hit(text, {k for _, ks in self.marks(text.lower()) for k in ks})
 
 
 @lru_cache(1)
@@ -153,19 +158,21 @@ def _passages(text: str) -> Iterator[tuple[int, str]]:
 
 def _judged(text: str) -> list[tuple[str, bool, bool]]:
     """(passage, filler found, error or notice or mark found) of a text's sentences."""
-    fill, bad, _ = detectors()
-    low = text.lower()
+    two = detectors()[:2]
+    low, out = text.lower(), []
     if len(low) != len(text):  # a letter whose lower case is longer: places don't agree
-        return [(x, fill.hit(x, True), bad.hit(x, True)) for _, x in _passages(text)]
-    marks, out = (fill.marks(low), bad.marks(low)), []
-    at = [0, 0]
+        return [(x, *(d.finds(x) for d in two)) for _, x in _passages(text)]
+    marks, at = [d.marks(low) for d in two], [0, 0]
     for begin, x in _passages(text):
-        gate = []
-        for k in (0, 1):
-            while at[k] < len(marks[k]) and marks[k][at[k]] < begin:
-                at[k] += 1
-            gate.append(at[k] < len(marks[k]) and marks[k][at[k]] < begin + len(x))
-        out.append((x, fill.hit(x, gate[0]), bad.hit(x, gate[1])))
+        found = []
+        for j, d in enumerate(two):
+            asked: set[int] = set()
+            while at[j] < len(marks[j]) and marks[j][at[j]][0] < begin + len(x):
+                if marks[j][at[j]][0] >= begin:
+                    asked.update(marks[j][at[j]][1])
+                at[j] += 1
+            found.append(d.hit(x, asked))
+        out.append((x, *found))
     return out
 
 
@@ -177,7 +184,7 @@ def adopted_reason(text: str | None) -> str | None:
     if _has_place(a):
         return "placeholder"
     said = _judged(a)
-    if detectors()[2].hit(a, True):
+    if detectors()[2].finds(a):
         return "failure mark"
     bad = sum(len(x.split()) for x, f, b in said if f or b)
     left = sum(len(x.split()) for x, f, b in said if not (f or b))

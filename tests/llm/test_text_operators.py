@@ -140,14 +140,15 @@ def test_residue_of_any_length_and_evidence_of_hosts(spark):
         want |= {k, 10 + k}
     # a menu line of one host: alone on a page it is no content there, on another host it is a page's own line
     menu = "Texts of the archive and of its branches in all six sectors"
-    rows += [(100 + k, f"Reefs {k}", f"https://b/reefs-{k}", None, f"{menu}\n{real.format(k=k)}") for k in range(6)]
+    rows += [(100 + k, f"Reefs {k}", f"https://b/reefs-{k}", None, f"{menu}\n{real.format(k=w)}") for k, w in enumerate("six ten few two no old".split())]
     rows += [(110, "Tides", "https://b/tides", None, f"{menu}\n{menu}"), (111, "Tides", "https://c/tides", None, f"{menu}\n{menu}")]
     # one body under many titles of a host speaks of none of them; under titles of other hosts it is a text of its own
     rows += [(120 + k, f"Statute {w}", f"https://d/statute-{w}", None, "for details see the list kept with the papers of this house on its second floor") for k, w in enumerate(("salt", "wheat", "rope"))]
     rows += [(130 + k, f"Statute {w}", f"https://{w}/statute-{w}", None, "for details see the list kept with the papers of this house on its first floor") for k, w in enumerate(("salt", "wheat", "rope"))]
     rows += [(None, "x", "u", "ERROR", None), (1, "Title of number 1", "https://a/1", None, " ".join([error] * 5))]
     df = spark.createDataFrame(rows, "ord long, title string, url string, adopted_by string, content string").withColumn("host", F.lit("clash"))
-    assert sorted(r["ord"] for r in R.find_residue(df).collect()) == sorted(want | {110, 120, 121, 122})
+    got = {(r["ord"], r["reason"]) for r in R.find_residue(df).collect()}
+    assert {o for o, _ in got} == want | {110, 120, 121, 122}, sorted(got)
 
 
 def test_detectors_find_what_their_patterns_find():
@@ -159,7 +160,7 @@ def test_detectors_find_what_their_patterns_find():
     for patterns, d in zip((R.FILLER, [*R.ERRORS, *R.NOTICES, *R.MARKS]), R.detectors()):
         plain = [R.re.compile(p, R.re.I) for p in patterns]
         for t in texts + [" ".join(r.sample("error page you requested has been moved lorem ipsum script robot human verify 404 enable".split(), 5)) for _ in range(300)]:
-            assert d.hit(t, bool(d.marks(t.lower()))) == any(p.search(t) for p in plain), t
+            assert d.finds(t) == any(p.search(t) for p in plain), t
 
 
 def test_boosting_learns_an_interaction():
