@@ -18,6 +18,7 @@ def parse_lines(lines: DataFrame, value: str = "value", unique_titles: bool = Tr
     parts = F.split("line", " - ", 2)
     rows = rows.select(F.when(F.size(parts) == 2, parts).otherwise(F.raise_error(F.concat(F.lit("no delimiter: "), F.col("line"))).cast("array<string>")).alias("p"))
     out = rows.select(strip(F.col("p")[0]).alias("code"), strip(F.col("p")[1]).alias("title"))
+    # How a line writes its year and number.
     out = out.select("code", "title", extract_or_null("title", r",\s*(\d{4})").alias("year"), extract_or_null("title", r"\(No\.\s*([^)]+)\)").alias("number"))
     if unique_titles:
         twice = out.groupBy("title").count().where("count > 1").head()

@@ -173,10 +173,10 @@ def next_page(html: str, selector: str) -> str | None:
     return None if n is None or "disabled" in (n.attrs.get("class") or "") else n.attrs.get("href")
 
 
-def collect_pages(first: str, get, selector: str, limit: int = 10_000) -> Iterator[tuple[str, str]]:
-    """(url, html) of a list followed by its next links, each page once."""
+def collect_pages(first: str, get, selector: str) -> Iterator[tuple[str, str]]:
+    """(url, html) of a list followed by its next links, each page once, to the list's end or to a page that came before."""
     url, seen = first, set()
-    while url and url not in seen and len(seen) < limit:
+    while url and url not in seen:
         seen.add(url)
         html = get(url)
         yield url, html
@@ -234,5 +234,6 @@ def detail_rows(pages: DataFrame, html: str, keep: list[str], host: str) -> Data
     status = F.when(F.col("__h").isNull(), "ERROR").when(is_block_page(F.col("__b")), "SECURITY_BLOCK").otherwise("OK")
     p = p.withColumn("status", status)
     ok = F.col("status") == "OK"
+    # Where the pages have these fields.
     return p.select(*keep, F.when(ok, css_text(F.col("__h"), "div.content-hero p")).otherwise(F.col("status")).alias("adopted_by"), F.when(ok, css_text(F.col("__h"), "div.main-content")).alias("content"),
                     F.when(ok, url_join(host, css_attr(F.col("__h"), "div.paragraph--type--file-version a.pdf", "href"))).alias("pdf_url"), "status")

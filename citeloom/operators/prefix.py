@@ -1,10 +1,12 @@
-"""Running sums over groups of any size, without one task per group."""
+"""Running sums over groups and positions in an order, of any size, without one task per group or table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.runtime import materialize
+
 
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: Column, bucket: Column, out: str, buckets_known: int) -> DataFrame:
     """df with `out`: the sum of `value` over the earlier rows of the group, the row itself not included.
@@ -26,3 +28,19 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], value: Col
         cond = cond & m
     joined = rows.join(totals, cond).withColumn(out, F.col("__before") + F.coalesce(F.sum(v).over(inner), F.lit(0)))
     return joined.drop(b, v, "__before", "__b", *[f"__g_{g}" for g in group])
+
+
+def with_position(df: DataFrame, order: list[Column], out: str = "pos", partitions: int | None = None) -> DataFrame:
+    """df with `out`: the place of each row, from 0, in a total order; ties get places in no stated order.
+
+    Ranges of the order are sorted in a task each and numbered there; the sizes of the ranges (one row a task) give each range its
+    first place. So neither the table nor a value that a third of its rows share is sorted in one task. The numbered rows are
+    written once, as ranges drawn a second time could differ. An empty table has no rows.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "places")
+    sizes = numbered.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    first = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__first"))
+    joined = numbered.join(F.broadcast(first), F.shiftright("__at", 33) == F.col("__range"))  # one row for each task
+    return joined.withColumn(out, F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__range", "__first")

@@ -2,49 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import SPACE, contains_regex
+from citeloom.runtime import materialize
 
 
 def _words(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
 
 
-def containment_join(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str, keep: list[str] | None = None) -> DataFrame:
+NEEDLE_CHARS = 2_000_000  # characters of the needles that one automaton holds; so much is broadcast at most
+
+
+def _automaton(rows: list) -> ahocorasick.Automaton:
+    """One automaton of needles; a needle that several ids have gives them all."""
+    by: dict[str, list] = {}
+    for i, text in rows:
+        by.setdefault(text, []).append(i)
+    found = ahocorasick.Automaton()
+    for text, ids in by.items():
+        found.add_word(text, ids)
+    found.make_automaton()
+    return found
+
+
+def _scan(t: DataFrame, rows: list, kind: str, keep: list[str]) -> DataFrame:
+    """(__t, keep, __n) by one pass over the texts with one automaton of the needles `rows`, built once in each task."""
+    spark = t.sparkSession
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema if f.name != "__x"] + [f"`__n` {kind}"])
+    known = spark.sparkContext.broadcast(rows)
+    names = ["__t", *keep]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = _automaton(known.value)
+        for f in frames:
+            at, ids = [], []
+            for k, x in enumerate(f["__x"]):
+                held = {i for _, found in find.iter(x) for i in found}
+                at += [k] * len(held)
+                ids += held
+            out = f[names].iloc[at].reset_index(drop=True)
+            out["__n"] = pd.Series(ids, dtype=object)
+            yield out
+
+    return t.select("__t", *keep, "__x").mapInPandas(run, schema)
+
+
+def containment_join(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str, keep: list[str] | None = None, limit: int = NEEDLE_CHARS) -> DataFrame:
     """(text_id, needle_id): needles that occur in a text, ignoring case, the white space between words as written.
 
-    Every needle of three words or more is anchored: of its inner words, which a hit holds whole, the one found in the fewest
-    texts is joined by equality with the texts' words, and what meets is verified. Shorter needles, which have no inner word, are
-    anchored on character triples of theirs instead, those under three characters tested against every text (a table of such
-    needles, tiny by nature). Null and empty texts and needles hold nothing and are held nowhere. `keep`: columns of the texts
-    to be carried along.
+    The needles are measured first. Up to `limit` characters they are broadcast as one automaton (Aho and Corasick, 1975), which
+    finds all of them in one pass over the texts: no text is shuffled, whatever a needle's length or a word's frequency. Beyond
+    that, needles of three words or more are anchored: of its inner words, which a hit holds whole, the one found in the fewest
+    texts is joined by equality with the texts' words, and what meets is verified, the texts being joined once. Those shorter have
+    no inner word and take automata of at most `limit` characters, a pass each. Null and empty texts and needles hold nothing and
+    are held nowhere. `keep`: columns of the texts to be carried along. Equal rows come out once.
     """
-    t = texts.where(F.col(text).isNotNull()).select(F.col(text_id).alias("__t"), F.lower(F.col(text)).alias("__x"), *(keep or []))
+    keep = keep or []
+    t = texts.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text_id).alias("__t"), F.lower(F.col(text)).alias("__x"), *keep)
     n = needles.where(F.col(needle).isNotNull() & (F.col(needle) != "")).select(F.col(needle_id).alias("__n"), F.lower(F.col(needle)).alias("__y")).distinct()
+    kind = n.schema["__n"].dataType.simpleString()
+    names = [F.col("__t").alias(text_id), F.col("__n").alias(needle_id), *keep]
+    n = materialize(n, "needles")
+    size = n.agg(F.coalesce(F.sum(F.length("__y")), F.lit(0)).alias("c")).first()["c"]
+    if size <= limit:
+        return _scan(t, [tuple(r) for r in n.collect()], kind, keep).select(*names).distinct()
     words = _words(F.col("__y"))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    anchored = n.withColumn("__inner", inner)
+    n = n.withColumn("__inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    anchored = n.where(F.size("__inner") > 0)
     # how many texts hold each inner word: counted for the words that needles have
     asked = anchored.select(F.explode("__inner").alias("__w")).distinct()
-    held = t.select("__t", F.explode(F.array_distinct(_words(F.col("__x")))).alias("__w"))
-    df = held.join(asked, "__w", "left_semi").groupBy("__w").agg(F.count(F.lit(1)).alias("__df"))
+    held = materialize(t.select("__t", F.explode(F.array_distinct(_words(F.col("__x")))).alias("__w")).join(asked, "__w", "left_semi"), "words")
+    df = held.groupBy("__w").agg(F.count(F.lit(1)).alias("__df"))
     choice = anchored.select("__n", "__y", F.explode("__inner").alias("__w")).join(df, "__w")
     choice = choice.groupBy("__n", "__y").agg(F.min_by("__w", F.struct("__df", "__w")).alias("__w"))
-    met = held.join(choice, "__w").join(t, "__t").where(F.contains("__x", "__y"))
-    long_ = met.select("__t", "__n", *(keep or []))
-
-    short = anchored.where(F.size("__inner") == 0)
-    grams = short.where(F.length("__y") >= 3).withColumn("__w", F.substring("__y", 1, 3))
-    triple = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__x") - 2), lambda i: F.substr("__x", i, F.lit(3))))
-    spread = t.where(F.length("__x") >= 3).select("__t", F.explode(triple).alias("__w")).join(grams.select("__w").distinct(), "__w", "left_semi")
-    by_gram = spread.join(grams, "__w").join(t, "__t").where(F.contains("__x", "__y")).select("__t", "__n", *(keep or []))
-    tiny = short.where(F.length("__y") < 3)
-    by_all = t.join(tiny, F.contains("__x", "__y")).select("__t", "__n", *(keep or []))
-    return long_.unionByName(by_gram).unionByName(by_all).select(F.col("__t").alias(text_id), F.col("__n").alias(needle_id), *(keep or [])).distinct()
+    out = held.join(choice, "__w").join(t, "__t").where(F.contains("__x", "__y")).select(*names)
+    short = n.where(F.size("__inner") == 0).select("__n", "__y")
+    blocks = -(-(short.agg(F.coalesce(F.sum(F.length("__y")), F.lit(0)).alias("c")).first()["c"]) // limit)
+    for k in range(blocks):  # shares of about `limit` characters, by hash
+        out = out.unionByName(_scan(t, [tuple(r) for r in short.where(F.pmod(F.xxhash64("__y"), F.lit(blocks)) == k).collect()], kind, keep).select(*names))
+    return out.distinct()
 
 
 @dataclass

@@ -74,8 +74,8 @@ def _days(spark, root):
 
 
 def title_scan_top(spark, root):
-    """Missing citations of the 30 most cited resolutions, by all of their titles, in one job."""
-    top = R.top(G.in_degrees(_edges(spark, root), ["res_id2_unlet_recv"]), G.by_count(["res_id2_unlet_recv"]), 30).select(F.col("res_id2_unlet_recv").alias("res_id"))
+    """Missing citations of the 200 most cited resolutions, by all of their titles, in one job."""
+    top = R.top(G.in_degrees(_edges(spark, root), ["res_id2_unlet_recv"]), G.by_count(["res_id2_unlet_recv"]), 200).select(F.col("res_id2_unlet_recv").alias("res_id"))
     titles = _nodes(spark, root).where("title IS NOT NULL").select(F.col("res_id2_unlet").alias("res_id"), "title").distinct()
     return title_scan(_documents(spark, root), _known(spark, root), titles.join(top, "res_id").join(_days(spark, root), "res_id"))
 
@@ -168,7 +168,7 @@ SQL = {
     "distinct_edges": f"SELECT DISTINCT {_PAIR} FROM ga_citations_1946_2019",
     "against_time": f"SELECT res_id2_doc_giving_cite, res_id2_doc_receiv_cite, {_day('date_p_giv')} AS day_giv, {_day('date_p_recv')} AS day_recv FROM ga_citations_1946_2019 WHERE {_day('date_p_giv')} <= {_day('date_p_recv')}",
     "reference_dates": "SELECT res_id2_unlet, date_p FROM (SELECT *, row_number() OVER (PARTITION BY res_id2_unlet ORDER BY ord) AS k FROM ga_resolutions_1946_2019 WHERE res_id2_unlet IS NOT NULL) WHERE k = 1",
-    "title_scan_top": f"WITH {_DOCS}, {_KNOWN}, days AS (SELECT res_id2_unlet AS res_id, {_day('date_p')} AS day FROM (SELECT *, row_number() OVER (PARTITION BY res_id2_unlet ORDER BY ord) AS k FROM ga_resolutions_1946_2019) WHERE k = 1), top AS ({_degrees(['res_id2_unlet_recv'])} ORDER BY citation_count DESC, res_id2_unlet_recv LIMIT 30), titles AS (SELECT DISTINCT n.res_id2_unlet AS res_id, n.title, days.day FROM ga_resolutions_1946_2019 n JOIN top ON n.res_id2_unlet = top.res_id2_unlet_recv JOIN days ON days.res_id = n.res_id2_unlet WHERE n.title IS NOT NULL) SELECT DISTINCT d.giving, t.res_id FROM docs d JOIN titles t ON contains(lower(d.txt), lower(t.title)) AND d.day > t.day AND d.giving <> t.res_id WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.giving = d.giving AND k.res_id = t.res_id)",
+    "title_scan_top": f"WITH {_DOCS}, {_KNOWN}, days AS (SELECT res_id2_unlet AS res_id, {_day('date_p')} AS day FROM (SELECT *, row_number() OVER (PARTITION BY res_id2_unlet ORDER BY ord) AS k FROM ga_resolutions_1946_2019) WHERE k = 1), top AS ({_degrees(['res_id2_unlet_recv'])} ORDER BY citation_count DESC, res_id2_unlet_recv LIMIT 200), titles AS (SELECT DISTINCT n.res_id2_unlet AS res_id, n.title, days.day FROM ga_resolutions_1946_2019 n JOIN top ON n.res_id2_unlet = top.res_id2_unlet_recv JOIN days ON days.res_id = n.res_id2_unlet WHERE n.title IS NOT NULL) SELECT DISTINCT d.giving, t.res_id FROM docs d JOIN titles t ON contains(lower(d.txt), lower(t.title)) AND d.day > t.day AND d.giving <> t.res_id WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.giving = d.giving AND k.res_id = t.res_id)",
     "title_scan_variants": f"WITH {_DOCS}, {_KNOWN}, days AS (SELECT res_id2_unlet AS res_id, {_day('date_p')} AS day FROM (SELECT *, row_number() OVER (PARTITION BY res_id2_unlet ORDER BY ord) AS k FROM ga_resolutions_1946_2019) WHERE k = 1), hits AS ({_HITS}), targets(hit_of, res_id) AS (VALUES {_TARGETS}) SELECT h.giving, t.res_id, h.hit_of FROM (SELECT DISTINCT h.giving, h.hit_of FROM hits h JOIN days ON days.res_id = h.hit_of WHERE h.day > days.day AND h.giving <> h.hit_of AND NOT EXISTS (SELECT 1 FROM known k WHERE k.giving = h.giving AND k.res_id = h.hit_of)) h JOIN targets t ON t.hit_of = h.hit_of",
     "wrong_titles": f"WITH {_DOCS}, {_KNOWN} SELECT giving FROM docs WHERE giving IN (SELECT giving FROM known WHERE res_id = '937 (iii)') AND {_HAS('the')} AND NOT {_HAS('bail provision')}",
     "enrich_edges": _wide("''"),
@@ -177,4 +177,4 @@ SQL = {
     "convention_hits": "SELECT DISTINCT r.res_id2, c.title AS conv_prot_rec FROM ga_resolutions_1946_2019 r JOIN conventions c ON contains(lower(r.content), lower(c.title))",
     "passages_in_documents": "SELECT DISTINCT d.doc_id, i.item_id FROM documents d JOIN eval_items i ON contains(lower(d.text), lower(i.text))",
 }
-SQL["title_scan_cited"] = SQL["title_scan_top"].replace(" ORDER BY citation_count DESC, res_id2_unlet_recv LIMIT 30", "")
+SQL["title_scan_cited"] = SQL["title_scan_top"].replace(" ORDER BY citation_count DESC, res_id2_unlet_recv LIMIT 200", "")

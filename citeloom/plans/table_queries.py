@@ -49,7 +49,7 @@ def semi_titles(spark, root):
 
 
 def uncited_anti(spark, root):
-    return T.uncited(_res(spark, root).select("ord", "res_id2_unlet"), _cit(spark, root), "res_id2_unlet", "res_id2_unlet_giv")
+    return T.uncited(_res(spark, root).select("ord", "res_id2"), _cit(spark, root), "res_id2", "res_id2_doc_giving_cite")
 
 
 def nonnull_symbols(spark, root):
@@ -90,7 +90,8 @@ def chrono_split_as_coded(spark, root):
 
 
 def ordered_answers(spark, root):
-    return T.answers(_cit(spark, root), ["res_id2_unlet_giv"], canonical_symbol(strip("res_id2_unlet_recv")))
+    c = _cit(spark, root).withColumns({"day": parse_date("date_p_giv"), "receiving": strip("res_id2_doc_receiv_cite")})
+    return T.answers(c, ["res_id2_doc_giving_cite", "res_id2_unlet_giv", "content_giv"], canonical_symbol("receiving"), [F.col("day"), F.col("receiving")])
 
 
 def qa_rows(spark, root):
@@ -99,12 +100,12 @@ def qa_rows(spark, root):
 
 def chat_messages(spark, root):
     q = T.qa_rows(_res(spark, root), _cit(spark, root))
-    return q.select("res_id", json_line(T.chat(SYSTEM, F.col("question_text"), F.col("answer"))).alias("line"))
+    return q.select("symbol", "res_id", json_line(T.chat(SYSTEM, F.col("question_text"), F.col("answer"))).alias("line"))
 
 
 def training_lines(spark, root):
     t = T.training_lines(_res(spark, root).withColumn("d", parse_date("date_p")), _cit(spark, root), "d")
-    return t.select("split", "res_id", json_line(F.col("sample")).alias("line"))
+    return t.select("split", "symbol", "res_id", json_line(F.col("sample")).alias("line"))
 
 
 def canonical_symbols(spark, root):
@@ -206,10 +207,13 @@ _symbol = lambda c: f"'A/RES/' || upper(replace({c}, ' ', ''))"
 _KEEP = lambda way: f"SELECT res_id2, ord, title, date_p FROM (SELECT *, row_number() OVER (PARTITION BY res_id2 ORDER BY ord {way}) AS k FROM ga_resolutions_1946_2019) WHERE k = 1"
 _SPLIT = lambda rows: f"WITH r AS ({rows}), p AS (SELECT *, row_number() OVER (ORDER BY day ASC NULLS LAST, id) - 1 AS pos, count(*) OVER () AS n FROM r)"
 _IDS = f"SELECT DISTINCT res_id2_unlet AS id, {_day('date_p')} AS day FROM ga_resolutions_1946_2019 WHERE res_id2_unlet IS NOT NULL"
-_QA = f"""SELECT {_strip('res_id2_unlet_giv')} AS res_id, content_giv AS question_text, string_agg({_symbol(_strip('res_id2_unlet_recv'))}, ', ' ORDER BY {_symbol(_strip('res_id2_unlet_recv'))}) AS answer
-    FROM ga_citations_1946_2019 WHERE res_id2_unlet_recv IS NOT NULL AND content_giv IS NOT NULL AND res_id2_unlet_giv IS NOT NULL GROUP BY 1, 2
-    UNION ALL SELECT DISTINCT {_strip('res_id2_unlet')}, content, 'None' FROM ga_resolutions_1946_2019 WHERE content IS NOT NULL
-    AND NOT EXISTS (SELECT 1 FROM ga_citations_1946_2019 c WHERE c.res_id2_unlet_recv IS NOT NULL AND {_strip('c.res_id2_unlet_giv')} = {_strip('ga_resolutions_1946_2019.res_id2_unlet')})"""
+_GIVEN = f"""SELECT {_symbol(_strip('res_id2_doc_giving_cite'))} AS symbol, {_strip('res_id2_unlet_giv')} AS res_id, content_giv AS question_text,
+    {_strip('res_id2_doc_receiv_cite')} AS r, {_strip('res_id2_doc_giving_cite')} AS g, {_day('date_p_giv')} AS d FROM ga_citations_1946_2019 WHERE res_id2_doc_receiv_cite IS NOT NULL"""
+_QA = f"""SELECT symbol, res_id, question_text, string_agg({_symbol('r')}, ', ' ORDER BY d ASC NULLS FIRST, g, r) AS answer FROM ({_GIVEN}) given
+    WHERE symbol IS NOT NULL AND res_id IS NOT NULL AND question_text IS NOT NULL GROUP BY 1, 2, 3
+    UNION ALL SELECT DISTINCT {_symbol(_strip('n.res_id2'))}, {_strip('n.res_id2_unlet')}, n.content, 'None' FROM ga_resolutions_1946_2019 n
+    LEFT JOIN (SELECT DISTINCT {_strip('res_id2_doc_giving_cite')} AS g FROM ga_citations_1946_2019) c ON c.g = {_strip('n.res_id2')}
+    WHERE c.g IS NULL AND n.content IS NOT NULL AND n.res_id2_unlet IS NOT NULL AND n.res_id2 IS NOT NULL"""
 _SENT = f"list_filter(list_transform(string_split(text, '. '), lambda s: {_strip('s')}), lambda s: s <> '')"
 _BLOCK = " OR ".join(f"contains(lower(content), '{p}')" for p in H.BLOCK_PHRASES)
 _clean = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
@@ -220,7 +224,7 @@ SQL = {
     "union_instruments": "WITH u AS (SELECT title, NULL AS adopted_text, NULL AS url, 0 AS src, code AS pos FROM conventions UNION ALL SELECT title, adopted_by, url, 1, lpad(CAST(ord AS VARCHAR), 12, '0') FROM ohchr_instruments_detailed) SELECT title, adopted_text, url, src FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY src DESC, pos DESC) AS k FROM u) WHERE k = 1",
     "overlap_counts": " UNION ALL ".join(f"SELECT '{side}' AS side, count(*) AS n_rows, count(*) FILTER (title IN (SELECT title FROM {b} WHERE title IS NOT NULL)) AS n_in_other FROM {a}" for side, a, b in (("left", "ga_resolutions_subjects", "ga_resolutions_1946_2019"), ("right", "ga_resolutions_1946_2019", "ga_resolutions_subjects"))),
     "semi_titles": "SELECT res_id, title FROM ga_resolutions_subjects WHERE res_id IN (SELECT res_id2 FROM ga_resolutions_1946_2019)",
-    "uncited_anti": f"SELECT ord, res_id2_unlet FROM ga_resolutions_1946_2019 r WHERE NOT EXISTS (SELECT 1 FROM ga_citations_1946_2019 c WHERE {_strip('c.res_id2_unlet_giv')} = {_strip('r.res_id2_unlet')})",
+    "uncited_anti": f"SELECT ord, res_id2 FROM ga_resolutions_1946_2019 r WHERE NOT EXISTS (SELECT 1 FROM ga_citations_1946_2019 c WHERE {_strip('c.res_id2_doc_giving_cite')} = {_strip('r.res_id2')})",
     "nonnull_symbols": "SELECT * FROM ga_resolutions_subjects WHERE symbol IS NOT NULL",
     "not_in_session": "SELECT ord, session_es, session_sp FROM ga_resolutions_1946_2019 WHERE session_es IS DISTINCT FROM '1' AND session_sp IS DISTINCT FROM '1'",
     "resume_batch": "SELECT ord, res_id2 AS res_id FROM ga_resolutions_1946_2019 r WHERE NOT EXISTS (SELECT 1 FROM ga_resolutions_subjects s WHERE s.symbol IS NOT NULL AND s.res_id = r.res_id2) ORDER BY ord LIMIT 5000",
@@ -230,10 +234,10 @@ SQL = {
     "rows_by_year": f"SELECT CAST(year({_day('date_p')}) AS INTEGER) AS year, count(*) AS n_rows FROM ga_resolutions_1946_2019 GROUP BY 1",
     "chrono_split": _SPLIT(f"SELECT id, min(day) AS day FROM ({_IDS}) GROUP BY id") + " SELECT id, day, CASE WHEN pos < floor(n * 0.8) THEN 'train' WHEN pos < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM p",
     "chrono_split_as_coded": _SPLIT(_IDS) + " SELECT id, day, 'train' AS split FROM p WHERE pos >= floor(n * 0.8) UNION ALL SELECT id, day, 'val' FROM p WHERE pos >= floor(n * 0.9) UNION ALL SELECT id, day, 'test' FROM p WHERE pos >= floor(n * 0.9)",
-    "ordered_answers": f"SELECT res_id2_unlet_giv, string_agg({_symbol(_strip('res_id2_unlet_recv'))}, ', ' ORDER BY {_symbol(_strip('res_id2_unlet_recv'))}) AS answer FROM ga_citations_1946_2019 WHERE res_id2_unlet_giv IS NOT NULL GROUP BY 1",
+    "ordered_answers": f"SELECT res_id2_doc_giving_cite, res_id2_unlet_giv, content_giv, string_agg({_symbol(_strip('res_id2_doc_receiv_cite'))}, ', ' ORDER BY {_day('date_p_giv')} ASC NULLS FIRST, {_strip('res_id2_doc_receiv_cite')}) AS answer FROM ga_citations_1946_2019 WHERE res_id2_doc_giving_cite IS NOT NULL AND res_id2_unlet_giv IS NOT NULL AND content_giv IS NOT NULL AND res_id2_doc_receiv_cite IS NOT NULL GROUP BY 1, 2, 3",
     "qa_rows": _QA,
-    "chat_messages": f"SELECT res_id, CAST(json_object('messages', json_array(json_object('role', 'system', 'content', '{SYSTEM}'), json_object('role', 'user', 'content', question_text), json_object('role', 'assistant', 'content', answer))) AS VARCHAR) AS line FROM ({_QA})",
-    "training_lines": _SPLIT(f"SELECT id, min(day) AS day FROM (SELECT {_strip('res_id2_unlet')} AS id, {_day('date_p')} AS day FROM ga_resolutions_1946_2019 WHERE res_id2_unlet IS NOT NULL) GROUP BY id") + f", s AS (SELECT id, CASE WHEN pos < floor(n * 0.8) THEN 'train' WHEN pos < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM p) SELECT s.split, q.res_id, CAST(json_object('messages', json_array(json_object('role', 'system', 'content', '{SYSTEM}'), json_object('role', 'user', 'content', question_text), json_object('role', 'assistant', 'content', answer))) AS VARCHAR) AS line FROM ({_QA}) q JOIN s ON s.id = q.res_id",
+    "chat_messages": f"SELECT symbol, res_id, CAST(json_object('messages', json_array(json_object('role', 'system', 'content', '{SYSTEM}'), json_object('role', 'user', 'content', question_text), json_object('role', 'assistant', 'content', answer))) AS VARCHAR) AS line FROM ({_QA})",
+    "training_lines": _SPLIT(f"SELECT id, min(day) AS day FROM (SELECT {_strip('res_id2_unlet')} AS id, {_day('date_p')} AS day FROM ga_resolutions_1946_2019 WHERE res_id2_unlet IS NOT NULL) GROUP BY id") + f", s AS (SELECT id, CASE WHEN pos < floor(n * 0.8) THEN 'train' WHEN pos < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM p) SELECT s.split, q.symbol, q.res_id, CAST(json_object('messages', json_array(json_object('role', 'system', 'content', '{SYSTEM}'), json_object('role', 'user', 'content', question_text), json_object('role', 'assistant', 'content', answer))) AS VARCHAR) AS line FROM ({_QA}) q JOIN s ON s.id = q.res_id",
     "canonical_symbols": f"SELECT ord, {_symbol(_strip('res_id2'))} AS symbol FROM ga_resolutions_1946_2019",
     "extract_years": r"SELECT ord, nullif(regexp_extract(adopted_by, ',\s*\d+ \w+ (\d{4})', 1), '') AS year, nullif(regexp_extract(adopted_by, 'decision\s+([^,]+)$', 1), '') AS decision FROM ohchr_instruments_detailed",
     "sentence_stats": f"SELECT doc_id, CAST(CASE WHEN len({_SENT}) = 0 THEN 1 ELSE len({_SENT}) END AS INTEGER) AS n_sentences, CAST(CASE WHEN len({_SENT}) = 0 THEN length(text) ELSE list_max(list_transform({_SENT}, lambda s: length(s))) END AS INTEGER) AS longest FROM documents WHERE text IS NOT NULL",

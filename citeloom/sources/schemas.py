@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
 
+#: The columns of the domain's tables, down to VECTOR.
 _META = "res_id3 res_id2_unlet alt_id_dic session_type session_reg session_sp session_es resn res_letter date_p date_c location topic filename content".split()
 RESOLUTION = ["res_id2", *_META, "record", "draft", "n_inc_cit"]
 #: Columns of a resolution that an edge holds of its giving and of its receiving end.
