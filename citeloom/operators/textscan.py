@@ -37,6 +37,8 @@ def _scan(t: DataFrame, rows: list, kind: str, keep: list[str]) -> DataFrame:
     """(__t, keep, __n) by one pass over the texts with one automaton of the needles `rows`, built once in each task."""
     spark = t.sparkSession
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema if f.name != "__x"] + [f"`__n` {kind}"])
+    if not rows:
+        return spark.createDataFrame([], schema)
     known = spark.sparkContext.broadcast(rows)
     names = ["__t", *keep]
 
