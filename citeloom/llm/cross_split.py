@@ -3,78 +3,91 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import plain_identifier, strip
 from citeloom.llm.near_duplicates import shared_sql
-from citeloom.llm.shingles import expand, jaccard_at_least, shingle_sets
+from citeloom.llm.shingles import WORD, expand, gram_hashes, jaccard_at_least, join_classes
 from citeloom.runtime import materialize, table
 
-RARITY_BITS = 20  # counters of the rarity table are 2 ** RARITY_BITS, 4 MB, however large the corpus
-
-
-def rarity(sets: DataFrame, bits: int = RARITY_BITS) -> np.ndarray:
-    """How many records hold a sequence of each of 2 ** bits hash classes: a count over all sets in a table of fixed size."""
+LEAST_BITS, MOST_BITS = 16, 22  # counters of the rarity table: 16 for each text, between these powers of two (256 kB to 16 MB)
+FILTER_BITS = 21  # hash classes of evaluation prefixes by which training sequences are left out: 2 million numbers at most
+
+
+def _named(frames: Iterator[pd.DataFrame], n: int, bits: int) -> Iterator[pd.DataFrame]:
+    """(id, class, size) of each text with sequences, class a hash of its set; at the end (null, counter, count) of this task."""
+    known: dict[str, int] = {}
+    acc = np.zeros(1 << bits, np.int64)
+    for f in frames:
+        if len(known) > 1_000_000:
+            known.clear()
+        rows, all_ = [], []
+        for i, t in zip(f["id"], f["text"]):
+            g = gram_hashes(WORD.findall(t.lower()), n, known)
+            if len(g):
+                rows.append((i, xxhash.xxh3_64_intdigest(g.tobytes()) - 2**63, len(g)))
+                all_.append(g)
+        if all_:
+            acc += np.bincount((np.concatenate(all_) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        yield pd.DataFrame(rows, columns=["id", "class", "size"]).astype({"id": object})
+    at = np.flatnonzero(acc)
+    yield pd.DataFrame({"id": pd.Series([None] * len(at), dtype=object), "class": at, "size": acc[at]})
+
+
+def prefixes(texts: DataFrame, counts, least: float, n: int) -> DataFrame:
+    """(class, gram, pos, size): of each set the rarest sequences, so many that two sets sharing `least` of their union share one.
+    Copies are one class and give their sequences once in each task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros(1 << bits, np.int64)
+        rare_of, bits = counts.value
+        known: dict[str, int] = {}
+        seen: set[int] = set()
         for f in frames:
-            if len(f):
-                g = np.concatenate(list(f["grams"])).view(np.uint64) >> np.uint64(64 - bits)
-                acc += np.bincount(g.astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(acc)
-        yield pd.DataFrame({"k": at, "n": acc[at]})
-
-    out = np.zeros(1 << bits, np.int32)
-    got = sets.select("grams").mapInPandas(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out[got["k"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
-    return out
-
-
-def prefixes(sets: DataFrame, counts, least: float, bits: int = RARITY_BITS) -> DataFrame:
-    """(id, gram, pos, size): of each set the rarest sequences, so many that two sets sharing `least` of their union share one."""
-    kind = sets.schema["id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table_ = counts.value
-        for f in frames:
-            ids, grams, pos = [], [], []
-            for i, g in zip(f["id"], f["grams"]):
-                g = np.asarray(g)
-                rare = table_[(g.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)]
+            if len(known) > 1_000_000:
+                known.clear()
+            names, grams, sizes = [], [], []
+            for t in f["text"]:
+                g = gram_hashes(WORD.findall(t.lower()), n, known)
+                if not len(g) or (c := xxhash.xxh3_64_intdigest(g.tobytes()) - 2**63) in seen:
+                    continue
+                seen.add(c)
+                rare = rare_of[(g >> np.uint64(64 - bits)).astype(np.int64)]
                 keep = len(g) - int(np.ceil(least * len(g) - 1e-9)) + 1
-                g = g[np.lexsort((g, rare))][:keep]
-                ids.append(np.full(len(g), i))
-                grams.append(g)
-                pos.append(np.arange(len(g)))
-            if not ids:
-                continue
-            size = np.repeat([len(g) for g in f["grams"]], [len(x) for x in grams])
-            yield pd.DataFrame({"id": np.concatenate(ids), "gram": np.concatenate(grams), "pos": np.concatenate(pos), "size": size})
+                names.append(c)
+                sizes.append(len(g))
+                grams.append(g[np.lexsort((g, rare))][:keep].view(np.int64))
+            if names:
+                many = [len(x) for x in grams]
+                yield pd.DataFrame({"class": np.repeat(names, many), "gram": np.concatenate(grams), "pos": np.concatenate([np.arange(k) for k in many]), "size": np.repeat(sizes, many)})
 
-    return sets.select("id", "grams").mapInPandas(run, f"id {kind}, gram bigint, pos int, size int")
+    return texts.select("text").mapInPandas(run, "class bigint, gram bigint, pos int, size int")
 
 
-def bipartite_links(index: DataFrame, probe: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity), a of index, b of probe, a != b, with Jaccard similarity of at least `least`; exact.
+def bipartite_links(left: DataFrame, right: DataFrame, counts, least: float, n: int) -> DataFrame:
+    """(a, b): classes of left (id, text) and right whose sets may share `least` of their union, a different from b; of those that
+    do none is missing.
 
-    index, probe: id, grams. Sequences are put in one order for both sides, the rarest first (counted over both sides in a table
-    of fixed size, so ties and collisions cost time only). Two sets that share enough share a sequence of their prefixes; pairs
-    that meet there must fit in length and in what can still follow the meeting place, and are then verified in full.
+    Sequences are put in one order for both sides, the rarest first (counts), so two sets that share enough share a sequence of
+    their prefixes; pairs that meet there must fit in length and in what can still follow the meeting place. The prefixes of the
+    left side, the evaluation's, are the index: sequences of the right side travel only if their hash class is among the index's
+    (FILTER_BITS, a checked bound; nearly all pass where the index is far larger than that).
     """
-    counts = index.sparkSession.sparkContext.broadcast(rarity(index.unionByName(probe)))
-    left = prefixes(index, counts, least).select(F.col("id").alias("a"), "gram", F.col("pos").alias("pa"), F.col("size").alias("sa"))
-    right = prefixes(probe, counts, least).select(F.col("id").alias("b"), "gram", F.col("pos").alias("pb"), F.col("size").alias("sb"))
-    met = left.join(right, "gram").where(
+    index = materialize(prefixes(left, counts, least, n), "index")
+    bucket = F.col("gram").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    asked = F.broadcast(index.select(bucket.alias("__k")).distinct())
+    probe = prefixes(right, counts, least, n).withColumn("__k", bucket).join(asked, "__k", "left_semi")
+    one = index.select(F.col("class").alias("a"), "gram", F.col("pos").alias("pa"), F.col("size").alias("sa"))
+    two = probe.select(F.col("class").alias("b"), "gram", F.col("pos").alias("pb"), F.col("size").alias("sb"))
+    met = one.join(two, "gram").where(
         (F.col("a") != F.col("b")) & (F.col("sa") >= least * F.col("sb") - 1e-9) & (F.col("sb") >= least * F.col("sa") - 1e-9)
         & (1 + F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1) >= least / (1 + least) * (F.col("sa") + F.col("sb")) - 1e-6))
-    pairs = materialize(met.select("a", "b").distinct(), "pairs")
-    sets = index.unionByName(probe).dropDuplicates(["id"])
-    return jaccard_at_least(pairs, sets, "a", "b", least)
+    return met.select("a", "b").distinct()
 
 
 def same_key(classes: DataFrame, cell: int = 1 << 20) -> DataFrame:
@@ -89,36 +102,64 @@ def same_key(classes: DataFrame, cell: int = 1 << 20) -> DataFrame:
     return left.join(right, ["key", "salt"]).select("a", "b")
 
 
+def _side(df: DataFrame, which: str) -> DataFrame:
+    """(class, member, n) of one side of (id, class, side), n the class's size there."""
+    own = df.where(F.col("side") == which).select("class", F.col("id").alias("member"))
+    return materialize(join_classes(own, own.groupBy("class").agg(F.count(F.lit(1)).alias("n")), ["class"], "n"), "side")
+
+
+@dataclass
+class Found:
+    """What stands on both sides: members, (how, side, class, member, n); links, (how, a, b), of classes of eval and of train."""
+
+    members: DataFrame
+    links: DataFrame
+    sides: dict
+
+
+def linked(rows: DataFrame, least: float = 0.6, n: int = 3) -> Found:
+    """Classes of rows of val or test that stand in train too, and their links; see overlaps()."""
+    spark = rows.sparkSession
+    rows = materialize(rows.where("id IS NOT NULL AND split IN ('train', 'val', 'test')").select("id", "key", "text", F.when(F.col("split") == "train", "train").otherwise("eval").alias("side")), "rows")
+    kind = rows.schema["id"].dataType.simpleString()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * rows.count()).bit_length()))
+    texts = rows.where("text IS NOT NULL").select("id", "text", "side")
+    named = materialize(texts.select("id", "text").mapInPandas(lambda frames: _named(frames, n, bits), f"id {kind}, class bigint, size bigint"), "named")
+    got = named.where("id IS NULL").groupBy("class").agg(F.sum("size").alias("n")).toPandas()  # at most 2 ** bits numbers
+    rare = np.zeros(1 << bits, np.int32)
+    rare[got["class"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**31 - 1)
+    counts = spark.sparkContext.broadcast((rare, bits))
+    sides = {}
+
+    keyed = rows.where("key IS NOT NULL AND key != ''").select("id", F.xxhash64("key", "text").alias("class"), "key", "side")
+    sides["key"] = _side(keyed, "eval"), _side(keyed, "train")
+    links = same_key(keyed.select("key", "class", "side").distinct()).withColumn("how", F.lit("key"))
+
+    sets = named.where("id IS NOT NULL").select("id", "class").join(rows.select("id", "side"), "id")
+    sides["text"] = te, tt = _side(sets, "eval"), _side(sets, "train")
+    reps = [x.groupBy("class").agg(F.min("member").alias("id")) for x in (te, tt)]
+    pairs = materialize(bipartite_links(texts.where("side = 'eval'"), texts.where("side = 'train'"), counts, least, n), "pairs")
+    # a class is verified by its least member
+    at = pairs.join(reps[0].select(F.col("class").alias("a"), F.col("id").alias("__x")), "a").join(reps[1].select(F.col("class").alias("b"), F.col("id").alias("__y")), "b")
+    near = jaccard_at_least(at, texts.select("id", "text"), "__x", "__y", least, n).select("a", "b")
+    equal = reps[0].select(F.col("class").alias("a")).join(reps[1].select(F.col("class").alias("a")), "a").select("a", F.col("a").alias("b"))
+    links = materialize(links.unionByName(near.unionByName(equal).withColumn("how", F.lit("text"))), "links")
+    members = [x.select(F.lit(how).alias("how"), F.lit(side).alias("side"), "class", "member", "n") for how, pair in sides.items() for side, x in zip(("eval", "train"), pair)]
+    return Found(members[0].unionByName(members[1]).unionByName(members[2]).unionByName(members[3]), links, sides)
+
+
 def overlaps(rows: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
     """(eval_id, train_id, how): rows of val or test that stand in train too. how: key, text.
 
-    rows: id, key, text, split (train, val, test; anything else and null take no part). Extra columns aren't read. Rows agree by
-    key if their keys are equal and not null, by text if the sets of n-word sequences share at least `least` of their union.
-    Equal texts are one class, so copies are compared once; where copies of two classes make more than EXPAND pairs, each copy
-    comes with the other side's representative instead of with every copy. By key, only rows of equal key and text are a class,
-    so rows of one key with different texts all come out as pairs, however frequent the key.
+    rows: id, key, text, split (train, val, test; anything else and null take no part, nor do null ids). Extra columns aren't
+    read. Rows agree by key if their keys are equal and not null or empty, by text if the sets of n-word sequences share at least
+    `least` of their union; texts under n words have none. Rows of one text (by key: of one key and text) are a class and compared
+    once; every pair of their members comes out, dealt out to cells of bounded size. linked() has the same as classes and links,
+    in a size in proportion to the rows.
     """
-    rows = materialize(rows.where("split IN ('train', 'val', 'test')").select("id", "key", "text", F.when(F.col("split") == "train", "train").otherwise("eval").alias("side")), "rows")
-    sets = materialize(shingle_sets(rows, "id", F.col("text"), n).join(rows.select("id", "side"), "id"), "sets")
-
-    def side(df: DataFrame, key: list, which: str) -> DataFrame:
-        """class, member, rep, n of one side."""
-        own = df.where(F.col("side") == which).select(F.xxhash64(*key).alias("class"), F.col("id").alias("member"))
-        return materialize(own.join(own.groupBy("class").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("n")), "class"), "side")
-
-    keyed = rows.where("key IS NOT NULL AND key != ''")
-    ke, kt = side(keyed, ["key", "text"], "eval"), side(keyed, ["key", "text"], "train")
-    same = same_key(keyed.select("key", F.xxhash64("key", "text").alias("class"), "side").distinct())
-    by_key = expand(same, ke, kt).withColumn("how", F.lit("key"))
-
-    te, tt = side(sets, ["h1", "h2"], "eval"), side(sets, ["h1", "h2"], "train")
-    with_class = sets.withColumn("class", F.xxhash64("h1", "h2"))
-    index = with_class.join(te.where("member = rep").select("member"), F.col("id") == F.col("member"), "left_semi").select(F.col("class").alias("id"), "grams")
-    probe = with_class.join(tt.where("member = rep").select("member"), F.col("id") == F.col("member"), "left_semi").select(F.col("class").alias("id"), "grams")
-    near = bipartite_links(materialize(index, "index"), materialize(probe, "probe"), least).select("a", "b")
-    equal = te.select(F.col("class").alias("a")).distinct().join(tt.select(F.col("class").alias("a")).distinct(), "a").select("a", F.col("a").alias("b"))
-    by_text = expand(near.unionByName(equal), te, tt).withColumn("how", F.lit("text"))
-    return by_key.unionByName(by_text).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), "how")
+    found = linked(rows, least, n)
+    out = [expand(found.links.where(F.col("how") == how), *found.sides[how]).withColumn("how", F.lit(how)) for how in ("key", "text")]
+    return out[0].unionByName(out[1]).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), "how")
 
 
 def _rows(spark: SparkSession, root: str) -> DataFrame:
@@ -132,18 +173,46 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return o.select(F.least("eval_id", "train_id").alias("ord_a"), F.greatest("eval_id", "train_id").alias("ord_b")).distinct()
 
 
+def p5_members(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of p5_links' classes: how they agree (key or text), their side, their class as its least row there, its size."""
+    found = linked(_rows(spark, root))
+    m = found.members
+    both = found.links.select("how", F.lit("eval").alias("side"), F.col("a").alias("class")).unionByName(found.links.select("how", F.lit("train").alias("side"), F.col("b").alias("class"))).distinct()
+    kept = m.join(both, ["how", "side", "class"], "left_semi")
+    least = kept.groupBy("how", "side", "class").agg(F.min("member").alias("rep_ord"), F.count(F.lit(1)).alias("c"))
+    return join_classes(kept, least, ["how", "side", "class"], "c").select("how", "side", F.col("member").alias("ord"), "rep_ord", F.col("n").alias("copies"))
+
+
+def p5_links(spark: SparkSession, root: str) -> DataFrame:
+    """Links between classes of the evaluation and of train, each named by its least row on its side."""
+    found = linked(_rows(spark, root))
+    least = materialize(found.members.groupBy("how", "side", "class").agg(F.min("member").alias("rep")), "reps")
+    name = lambda side, c, out: least.where(F.col("side") == side).select("how", F.col("class").alias(c), F.col("rep").alias(out))
+    return found.links.join(name("eval", "a", "eval_ord"), ["how", "a"]).join(name("train", "b", "train_ord"), ["how", "b"]).select("how", "eval_ord", "train_ord")
+
+
 def p5_report(spark: SparkSession, root: str) -> DataFrame:
-    """Per split and source of the evaluation row: its rows that stand in train, by key and by text."""
-    o = overlaps(_rows(spark, root)).groupBy(F.col("eval_id").alias("ord")).agg(F.max(F.col("how") == "key").alias("k"), F.max(F.col("how") == "text").alias("t"))
+    """Per split and source of the evaluation row: its rows that stand in train, by key and by text. From classes and links."""
+    found = linked(_rows(spark, root))
+    has = found.links.select("how", F.col("a").alias("class")).distinct()
+    o = found.members.where("side = 'eval'").join(has, ["how", "class"], "left_semi").groupBy(F.col("member").alias("ord")).agg(F.max(F.col("how") == "key").alias("k"), F.max(F.col("how") == "text").alias("t"))
     s = table(spark, root, "resolution_splits").select("ord", F.lower(strip("split")).alias("split"), "source")
     j = s.join(o, "ord")
     return j.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("k").alias("by_key"), F.count_if("t").alias("by_text"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p5_found": p5_found, "p5_members": p5_members, "p5_links": p5_links, "p5_report": p5_report}
 _PLAIN = r"regexp_replace(regexp_replace(lower({c}), '[\s\p{{Z}}\x0B\x{{85}}\x1C-\x1F]+', '', 'g'), '^a/res/', '')"
+_CROSS = """((a.split = 'train' AND b.split IN ('val', 'test')) OR (b.split = 'train' AND a.split IN ('val', 'test')))"""
+_BASE = f"""{shared_sql("content", "content IS NOT NULL")}, r AS (SELECT r.ord, {_PLAIN.format(c="r.res_id2")} AS k, r.content AS txt, lower(trim(s.split)) AS split, s.source FROM ga_resolutions_1946_2019 r JOIN resolution_splits s ON s.ord = r.ord WHERE s.split IS NOT NULL),
+        p AS (SELECT 'text' AS how, ord_a, ord_b FROM near UNION SELECT 'key', a.ord, b.ord FROM r a JOIN r b ON a.k = b.k AND a.k <> '' AND a.ord < b.ord),
+        f AS (SELECT p.how, CASE WHEN a.split = 'train' THEN b.ord ELSE a.ord END AS e, CASE WHEN a.split = 'train' THEN a.ord ELSE b.ord END AS t FROM p JOIN r a ON a.ord = ord_a JOIN r b ON b.ord = ord_b WHERE {_CROSS})"""
+_NAMES = """h AS (SELECT ord, md5(string_agg(g, '|' ORDER BY g)) AS h FROM g GROUP BY 1), side AS (SELECT *, CASE WHEN split = 'train' THEN 'train' ELSE 'eval' END AS side FROM r WHERE split IN ('train', 'val', 'test')),
+        m AS (SELECT 'text' AS how, side, side.ord, min(side.ord) OVER w AS rep_ord, count(*) OVER w AS copies FROM side JOIN h ON h.ord = side.ord WINDOW w AS (PARTITION BY h, side)
+              UNION ALL SELECT 'key', side, ord, min(ord) OVER w, count(*) OVER w FROM side WHERE k <> '' WINDOW w AS (PARTITION BY k, txt, side))"""
 SQL: dict[str, str] = {
-    "p5_found": f"""WITH {shared_sql("content", "content IS NOT NULL")}, r AS (SELECT r.ord, {_PLAIN.format(c="r.res_id2")} AS k, lower(trim(s.split)) AS split FROM ga_resolutions_1946_2019 r JOIN resolution_splits s ON s.ord = r.ord WHERE s.split IS NOT NULL),
-        p AS (SELECT ord_a, ord_b FROM near UNION SELECT a.ord, b.ord FROM r a JOIN r b ON a.k = b.k AND a.k <> '' AND a.ord < b.ord)
-        SELECT ord_a, ord_b FROM p JOIN r a ON a.ord = ord_a JOIN r b ON b.ord = ord_b WHERE (a.split = 'train' AND b.split IN ('val', 'test')) OR (b.split = 'train' AND a.split IN ('val', 'test'))""",
+    "p5_found": f"WITH {_BASE} SELECT DISTINCT least(e, t) AS ord_a, greatest(e, t) AS ord_b FROM f",
+    "p5_members": f"WITH {_BASE}, {_NAMES} SELECT how, side, ord, rep_ord, copies FROM m WHERE (side = 'eval' AND EXISTS (SELECT 1 FROM f WHERE f.how = m.how AND f.e = m.ord)) OR (side = 'train' AND EXISTS (SELECT 1 FROM f WHERE f.how = m.how AND f.t = m.ord))",
+    "p5_links": f"WITH {_BASE}, {_NAMES} SELECT DISTINCT f.how, x.rep_ord AS eval_ord, y.rep_ord AS train_ord FROM f JOIN m x ON x.how = f.how AND x.side = 'eval' AND x.ord = f.e JOIN m y ON y.how = f.how AND y.side = 'train' AND y.ord = f.t",
+    "p5_report": f"WITH {_BASE}, o AS (SELECT e, bool_or(how = 'key') AS k, bool_or(how = 'text') AS t FROM f GROUP BY 1) SELECT split, source, count(*) AS n_rows, count(*) FILTER (k) AS by_key, count(*) FILTER (t) AS by_text FROM o JOIN r ON r.ord = o.e GROUP BY 1, 2",
 }

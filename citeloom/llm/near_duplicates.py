@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.shingles import classes, expand, jaccard_at_least, mix64, shingle_sets
+from citeloom.llm.shingles import HOT_CLASSES, classes, expand, jaccard_at_least, join_classes, mix64, only, set_names, shingle_sets, texts_of
 from citeloom.operators.components import connected_components
 from citeloom.runtime import materialize, table
 
@@ -67,111 +67,166 @@ def _step(path: np.ndarray, token: np.ndarray, value: np.ndarray) -> np.ndarray:
         return mix64(path * np.uint64(31) + token.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + value.astype(np.uint64))
 
 
-def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame({"id": f["id"], "sig": [sampled_tokens(np.asarray(g)).tobytes() for g in f["grams"]]})
-
-
-def _bucket_pairs(frames: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
-    """Pairs of each run of equal paths whose sampled tokens agree in at least `floor`; the frames come sorted by path."""
-    rest: pd.DataFrame | None = None
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        paths, ids = part["path"].to_numpy(), part["id"].to_numpy()
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), TOKENS)
-        cut = np.flatnonzero(np.append(True, paths[1:] != paths[:-1]))
-        a, b = [], []
-        for lo, hi in zip(cut, np.append(cut[1:], len(paths))):
-            if hi - lo == 2:
-                if (sig[lo] == sig[lo + 1]).mean() >= floor:
-                    a.append([ids[lo]])
-                    b.append([ids[lo + 1]])
+def sketch(sig: np.ndarray) -> tuple[int, int]:
+    """One bit of each sampled token, 128 in all: two sets of similarity s agree in (1 + s) / 2 of them."""
+    return tuple(np.packbits((sig & 1).astype(np.uint8)).view(np.int64).tolist())
+
+
+def _roots(runs: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(path, token) of each node of the first level of all runs."""
+    roots = mix64(np.arange(1, runs + 1, dtype=np.uint64))
+    row, token = _children(roots, least)
+    return roots[row], token
+
+
+def _agree(sk: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bits that sketches have in common with one of them."""
+    return TOKENS - np.bitwise_count(sk ^ one).sum(1).astype(int)
+
+
+def _buckets(frames: Iterator[pd.DataFrame], bits: int, bucket: int) -> Iterator[pd.DataFrame]:
+    """Pairs of each run of equal paths of at most `bucket` rows whose sketches agree in `bits` or more, as (a, b, null); rows of
+    longer runs come back as (id, null, path). The frames come sorted by path; of a run no more than a bucket is held."""
+    held = {k: [] for k in ("path", "id", "s1", "s2")}
+    over = None  # the path of a run that turned out too long
+
+    def compare(path: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> pd.DataFrame:
+        cut = np.append(np.flatnonzero(np.append(True, path[1:] != path[:-1])), len(path))
+        a, b, large = [], [], []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if hi - lo > bucket:
+                large.append(np.arange(lo, hi))
                 continue
             for i in range(lo, hi - 1):
-                hit = np.flatnonzero((sig[i + 1 : hi] == sig[i]).mean(1) >= floor)
+                hit = np.flatnonzero(_agree(sk[i + 1 : hi], sk[i]) >= bits)
                 if len(hit):
                     a.append(np.full(len(hit), ids[i]))
                     b.append(ids[i + 1 + hit])
         x = np.concatenate(a) if a else np.empty(0, ids.dtype)
         y = np.concatenate(b) if b else np.empty(0, ids.dtype)
-        out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-        return out[out["a"] != out["b"]].drop_duplicates()
+        out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).astype(object)
+        out = out[out["a"] != out["b"]].drop_duplicates().assign(path=None)
+        at = np.concatenate(large) if large else np.empty(0, int)
+        return pd.concat([out, pd.DataFrame({"a": ids[at].astype(object), "b": None, "path": path[at].astype(object)})], ignore_index=True)
+
+    def flush() -> pd.DataFrame | None:
+        if not held["path"]:
+            return None
+        path, ids, s1, s2 = (np.concatenate(held[k]) for k in ("path", "id", "s1", "s2"))
+        for v in held.values():
+            v.clear()
+        return compare(path, ids, np.stack([s1, s2], 1).view(np.uint64))
 
     for f in frames:
-        if rest is not None and len(rest):
-            f = pd.concat([rest, f], ignore_index=True)
-        last = f["path"].iloc[-1] if len(f) else None
-        done = f["path"] != last
-        rest = f[~done].reset_index(drop=True)
-        if done.any():
-            yield compare(f[done].reset_index(drop=True))
-    if rest is not None and len(rest):
-        yield compare(rest)
-
-
-def candidate_pairs(sets: DataFrame, least: float, runs: int | None = None, bucket: int = BUCKET, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(a, b), a < b: records that met in a bucket and whose sampled tokens agree nearly as often as `least`.
-
-    sets: id, grams, of distinct sets. Each run splits all records by the values of a few sampled tokens; buckets of 2 to `bucket`
-    records are compared, larger ones are split again on tokens sampled for them alone. A bucket still too large at max_depth
-    holds texts alike in nearly everything; it is cut into blocks of which every two are compared, so none is dropped.
+        if not len(f):
+            continue
+        if over is not None:
+            same = f["path"].to_numpy() == over
+            if same.any():
+                yield pd.DataFrame({"a": f["id"][same].astype(object), "b": None, "path": over})
+                f = f[~same]
+            if not len(f):
+                continue
+            over = None
+        path = f["path"].to_numpy()
+        last = path == path[-1]
+        whole = f[~last]
+        for part, end in ((whole, True), (f[last], False)):
+            if not len(part):
+                continue
+            if held["path"] and part["path"].iloc[0] != held["path"][-1][-1] and not end:
+                if (x := flush()) is not None:
+                    yield x
+            for k, v in held.items():
+                v.append(part[k].to_numpy())
+            if end and (x := flush()) is not None:
+                yield x
+        if sum(map(len, held["path"])) > bucket:
+            over = path[-1]
+            if (x := flush()) is not None:
+                yield x
+    if (x := flush()) is not None:
+        yield x
+
+
+def candidate_pairs(signed: DataFrame, texts: DataFrame, least: float, n: int, runs: int, bucket: int = BUCKET, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(a, b), a < b: records that met in a bucket and whose sketches agree nearly as often as those of similarity `least`.
+
+    signed: id, s1, s2, paths, of distinct sets; texts: id, text. Each run splits all records by the values of a few sampled tokens;
+    buckets of 2 to `bucket` records are compared, larger ones are split again on tokens sampled for them alone. A bucket still too
+    large at max_depth holds texts alike in nearly everything: it is cut into blocks of which every two are compared, as nearly
+    every two of them are a link, so none is dropped. What travels of a record is its number, its path and 128 bits; records of
+    paths that are frequent over the whole table (fewer than HOT_CLASSES per run) aren't brought together at all before they split.
     """
-    kind = sets.schema["id"].dataType.simpleString()
-    if runs is None:
-        runs = runs_for(least)
-    sigs = materialize(sets.select("id", "grams").mapInPandas(_sign, f"id {kind}, sig binary"), "tokens")
-    floor = least - 3 * math.sqrt(least * (1 - least) / TOKENS)
-
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roots = mix64(np.arange(1, runs + 1, dtype=np.uint64))
-        row, token = _children(roots, least)
-        for f in frames:
-            sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(len(f), TOKENS)
-            path = _step(np.tile(roots[row], (len(f), 1)), np.tile(token, (len(f), 1)), sig[:, token])
-            yield pd.DataFrame({"id": np.repeat(f["id"].to_numpy(), len(row)), "path": path.ravel().view(np.int64)})
-
-    def deeper(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(len(f), TOKENS)
-            old = f["path"].to_numpy().view(np.uint64)
-            row, token = _children(old, least)
-            yield pd.DataFrame({"id": f["id"].to_numpy()[row], "path": _step(old[row], token, sig[row, token]).view(np.int64)})
-
-    level = sigs.mapInPandas(first, f"id {kind}, path bigint")
-    ready = None
+    spark = signed.sparkSession
+    kind = signed.schema["id"].dataType.simpleString()
+    # of a pair of similarity `least` (1 + least) / 2 of the bits agree; three deviations less pass
+    share = (1 + least) / 2
+    bits = math.floor(TOKENS * (share - 3 * math.sqrt(share * (1 - share) / TOKENS)))
+    schema = f"a {kind}, b {kind}, path bigint"
+    level, found = signed.select("id", "s1", "s2", F.explode("paths").alias("path")), None
+    total = signed.count()
     for depth in range(1, max_depth + 1):
-        counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = materialize(level.join(counts, "path"), "paths")
-        small = level.where(F.col("n") <= bucket).select("path", "id")
-        ready = small if ready is None else ready.unionByName(small)
-        large = level.where(F.col("n") > bucket)
+        most = max(bucket, total // HOT_CLASSES)
+        hot = materialize(level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("path"), "hot")
+        few = F.broadcast(hot)  # at most HOT_CLASSES for each run and node of a record
+        met = level.join(few, "path", "left_anti").repartition("path").sortWithinPartitions("path")
+        met = materialize(met.mapInPandas(lambda frames: _buckets(frames, bits, bucket), schema), "met")
+        pairs = met.where("b IS NOT NULL").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        large = met.where("b IS NULL").select(F.col("a").alias("id"), "path").unionByName(level.join(few, "path").select("id", "path"))
+        large = materialize(large, "large")
         if large.isEmpty():
-            large = None
+            return found.distinct()
+        if depth == max_depth:
             break
-        if depth < max_depth:
-            level = large.select("path", "id").join(sigs, "id").mapInPandas(deeper, f"id {kind}, path bigint").distinct()
-    if large is not None:  # blocks of half a bucket, every two of them together
-        blocks = F.ceil(F.col("n") / (bucket // 2)).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        both = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        both = both.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "id")
-        ready = ready.unionByName(both)
-    sorted_ = ready.join(sigs, "id").repartition("path").sortWithinPartitions("path")
-    return sorted_.mapInPandas(lambda frames: _bucket_pairs(frames, floor), f"a {kind}, b {kind}").distinct()
-
-
-def near_duplicates(df: DataFrame, id_col: str, text, least: float = 0.8, n: int = 5, runs: int | None = None) -> tuple[DataFrame, DataFrame]:
+
+        def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                sig = [sampled_tokens(np.asarray(g)) for g in f["grams"]]
+                sk = [sketch(x) for x in sig]
+                yield pd.DataFrame({"id": f["id"], "sig": [x.tobytes() for x in sig], "s1": [x[0] for x in sk], "s2": [x[1] for x in sk]})
+
+        def deeper(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(len(f), TOKENS)
+                old = f["path"].to_numpy().view(np.uint64)
+                row, token = _children(old, least)
+                yield pd.DataFrame({"id": f["id"].to_numpy()[row], "s1": f["s1"].to_numpy()[row], "s2": f["s2"].to_numpy()[row], "path": _step(old[row], token, sig[row, token]).view(np.int64)})
+
+        ids = large.select("id").distinct()
+        sigs = shingle_sets(only(texts, ids), n).mapInPandas(again, f"id {kind}, sig binary, s1 bigint, s2 bigint")
+        level = materialize(large.join(sigs, "id").mapInPandas(deeper, f"id {kind}, s1 bigint, s2 bigint, path bigint").distinct(), "paths")
+    sizes = large.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / (bucket // 2)).cast("int").alias("blocks"))
+    both = large.join(signed.select("id", "s1", "s2"), "id").join(sizes, "path").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = both.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "id", "s1", "s2")
+    last = both.repartition("path").sortWithinPartitions("path").mapInPandas(lambda frames: _buckets(frames, bits, 1 << 30), schema)
+    return found.unionByName(last.select("a", "b")).distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str, text, least: float = 0.8, n: int = 5, runs: int | None = None, bucket: int = BUCKET, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: id, rep, copies: each text with the representative of the texts that have the same set of
     n-word sequences. links: a, b, similarity: representatives, a < b, whose sets share at least `least` of their union.
 
     Every link returned is exact; each is found with a probability of TARGET_RECALL at least. Null texts and texts under n words
-    take no part. Copies of one text are one representative, however many. Other columns of df aren't read.
+    take no part. Copies of one text are one representative, however many. Other columns of df aren't read. Texts are read three
+    times at most instead of keeping their sets: for the paths, for buckets that are split again, and for pairs to be verified.
     """
-    sets = materialize(shingle_sets(df, id_col, text, n), "sets")
-    members = sets.select("id", "h1", "h2").join(classes(sets), ["h1", "h2"]).select("id", "rep", "copies")
-    reps = sets.join(classes(sets).select("rep"), sets["id"] == F.col("rep"), "left_semi")
-    links = jaccard_at_least(candidate_pairs(reps, least, runs), reps, "a", "b", least)
-    return members, links
+    runs = runs or runs_for(least)
+    path, token = _roots(runs, least)
+    texts = texts_of(df, id_col, text)
+
+    def sign(grams: np.ndarray) -> tuple:
+        sig = sampled_tokens(grams)
+        return (*sketch(sig), _step(path, token, sig[token]).view(np.int64))
+
+    signed = materialize(set_names(texts, n, sign, "s1 bigint, s2 bigint, paths array<bigint>"), "signed")
+    kinds = materialize(classes(signed), "classes")
+    members = join_classes(signed.select("id", "h1", "h2"), kinds, ["h1", "h2"]).select("id", "rep", "copies")
+    reps = materialize(signed.join(kinds.select("rep"), signed["id"] == F.col("rep"), "left_semi").select("id", "s1", "s2", "paths"), "reps")
+    pairs = materialize(candidate_pairs(reps, texts, least, n, runs, bucket, max_depth), "pairs")
+    return members, jaccard_at_least(pairs, texts, "a", "b", least, n)
 
 
 def _resolutions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -180,29 +235,42 @@ def _resolutions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of rows ord_a < ord_b, copies with each other and with what their text is linked to."""
     members = materialize(members, "members")
-    side = members.select(F.col("rep").alias("class"), F.col("id").alias("member"), "rep", F.col("copies").alias("n"))
+    side = members.select(F.col("rep").alias("class"), F.col("id").alias("member"), F.col("copies").alias("n"))
     within = members.where("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
-    both = links.select("a", "b").unionByName(within)
-    x = expand(both, side, side)
-    return x.where("x != y").select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b")).distinct()
+    copies = expand(within, side.where("n > 1"), side.where("n > 1")).where("x < y")
+    x = expand(links, side, side).unionByName(copies)  # classes are disjoint and a link comes once: no pair comes twice
+    return x.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs of rows, as the problem fixes them; p4_members and p4_links hold the same in a size in proportion to the rows."""
     return _pairs(*_resolutions(spark, root))
 
 
+def p4_members(spark: SparkSession, root: str) -> DataFrame:
+    """Per resolution with content: the least ord of those of the same text, and how many these are."""
+    return _resolutions(spark, root)[0].select(F.col("id").alias("ord"), F.col("rep").alias("rep_ord"), "copies")
+
+
+def p4_links(spark: SparkSession, root: str) -> DataFrame:
+    """Links between representatives."""
+    return _resolutions(spark, root)[1].select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def p4_groups(spark: SparkSession, root: str) -> DataFrame:
     """Per resolution with content: its group (the least ord in it) and its number of links to other texts."""
     members, links = _resolutions(spark, root)
     links = materialize(links, "links")
     comps = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(comps, "rep", "left").join(degree, "rep", "left")
+    of = materialize(members.where("id = rep").join(comps, "rep", "left").join(degree, "rep", "left").select("rep", "component", "n_links", F.col("copies").alias("c")), "groups")
+    out = join_classes(members, of, ["rep"], "c")
     return out.select(F.col("id").alias("ord"), F.coalesce("component", "rep").alias("group_ord"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+QUERIES = {"p4_found": p4_found, "p4_members": p4_members, "p4_links": p4_links, "p4_groups": p4_groups}
 
 
 def shared_sql(text: str, where: str) -> str:
@@ -214,4 +282,14 @@ def shared_sql(text: str, where: str) -> str:
         near AS (SELECT ord_a, ord_b FROM c JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE k >= 0.6 * (x.n + y.n - k))"""
 
 
-SQL: dict[str, str] = {"p4_found": f"WITH {shared_sql("coalesce(title, '') || ' ' || content", 'content IS NOT NULL')} SELECT ord_a, ord_b FROM near"}
+_NEAR = shared_sql("coalesce(title, '') || ' ' || content", "content IS NOT NULL")
+_SETS = "s AS (SELECT ord, md5(string_agg(g, '|' ORDER BY g)) AS h FROM g GROUP BY 1), m AS (SELECT ord, min(ord) OVER (PARTITION BY h) AS rep_ord, count(*) OVER (PARTITION BY h) AS copies FROM s)"
+_LINKS = "l AS (SELECT ord_a, ord_b, round(k / (x.n + y.n - k), 6) AS similarity FROM c JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE k >= 0.6 * (x.n + y.n - k) AND ord_a IN (SELECT rep_ord FROM m) AND ord_b IN (SELECT rep_ord FROM m))"
+SQL: dict[str, str] = {
+    "p4_found": f"WITH {_NEAR} SELECT ord_a, ord_b FROM near",
+    "p4_members": f"WITH {_NEAR}, {_SETS} SELECT ord, rep_ord, copies FROM m",
+    "p4_links": f"WITH {_NEAR}, {_SETS}, {_LINKS} SELECT ord_a, ord_b, similarity FROM l",
+    "p4_groups": f"""WITH RECURSIVE {_NEAR}, {_SETS}, {_LINKS}, e AS (SELECT ord_a AS x, ord_b AS y FROM l UNION SELECT ord_b, ord_a FROM l),
+        r AS (SELECT rep_ord AS x, rep_ord AS y FROM m UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), c2 AS (SELECT x, min(y) AS least FROM r GROUP BY 1), d AS (SELECT x, count(*) AS k FROM e GROUP BY 1)
+        SELECT ord, c2.least AS group_ord, copies, coalesce(d.k, 0) AS n_links FROM m JOIN c2 ON c2.x = rep_ord LEFT JOIN d ON d.x = rep_ord""",
+}

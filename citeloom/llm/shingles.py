@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.runtime import materialize
-
 WORD = re.compile(r"[a-z0-9]+")
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD))
-EXPAND = 4096  # pairs of copies of two classes that are written out; larger products come as links to the representatives
+CHUNK = 1_024  # members of a class that meet those of another in one cell, on average
+HOT_CLASSES = 10_000  # classes that hold more than 1 / HOT_CLASSES of all rows are fewer than this
+ID_BUCKETS = 1 << 18  # hash classes of ids; so many rows are broadcast at most to leave out texts that no candidate names
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,37 +41,82 @@ def gram_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
     return np.unique(g)
 
 
-def shingle_sets(df: DataFrame, id_col: str, text: Column, n: int = 3) -> DataFrame:
-    """(id, h1, h2, size, grams): the distinct n-word sequences of a text as sorted 64-bit hashes; h1 and h2 tell equal sets.
+def _shingled(f: pd.DataFrame, n: int, known: dict[str, int]) -> Iterator[tuple]:
+    """(id, grams) of the texts that have sequences."""
+    for i, t in zip(f["id"], f["text"]):
+        g = gram_hashes(WORD.findall(t.lower()), n, known)
+        if len(g):
+            yield i, g
+
+
+def texts_of(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, text) of the rows that have both."""
+    return df.select(F.col(id_col).alias("id"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+
+def shingle_sets(texts: DataFrame, n: int = 3) -> DataFrame:
+    """(id, grams): the distinct n-word sequences of texts (id, text) as sorted 64-bit hashes.
 
-    Words are runs of a-z0-9 after lower-casing. Null texts and texts under n words have no sequences and no row.
+    Words are runs of a-z0-9 after lower-casing. Texts under n words have no sequences and no row.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
+        for f in frames:
+            if len(known) > 1_000_000:
+                known.clear()
+            yield pd.DataFrame([(i, g.view(np.int64)) for i, g in _shingled(f, n, known)], columns=["id", "grams"])
+
+    return texts.select("id", "text").mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, grams array<bigint>")
+
+
+def set_names(texts: DataFrame, n: int = 3, extra=None, fields: str = "") -> DataFrame:
+    """(id, h1, h2, size, ...): of each text with sequences two hashes that tell equal sets, and their number; the sequences
+    themselves aren't kept. extra(grams) gives the values of further `fields`."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        names = ["id", "h1", "h2", "size", *[x.split()[0] for x in fields.split(", ") if x]]
         for f in frames:
             if len(known) > 1_000_000:
                 known.clear()
             rows = []
-            for i, t in zip(f["id"], f["text"]):
-                g = gram_hashes(WORD.findall(t.lower()), n, known)
-                if len(g):
-                    d = xxhash.xxh3_128(g.tobytes()).intdigest()
-                    rows.append((i, (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63, len(g), g.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "h1", "h2", "size", "grams"])
+            for i, g in _shingled(f, n, known):
+                d = xxhash.xxh3_128(g.tobytes()).intdigest()
+                rows.append((i, (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63, len(g), *(extra(g) if extra else ())))
+            yield pd.DataFrame(rows, columns=names)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return src.mapInPandas(run, f"id {kind}, h1 bigint, h2 bigint, size int, grams array<bigint>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, h1 bigint, h2 bigint, size int" + (f", {fields}" if fields else ""))
 
 
-def classes(sets: DataFrame) -> DataFrame:
+def classes(sets: DataFrame, id_col: str = "id") -> DataFrame:
     """(h1, h2, rep, copies): classes of equal sets; rep is the least id."""
-    return sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return sets.groupBy("h1", "h2").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
+
 
+def join_classes(rows: DataFrame, of: DataFrame, keys: list[str], copies: str = "copies") -> DataFrame:
+    """rows joined with their classes (one row for each key, `copies` members). Classes of more than a HOT_CLASSES-th of all rows
+    are fewer than HOT_CLASSES and broadcast, so their rows stay where they are; the others are joined by key."""
+    total = rows.count()
+    most = max(1_000, total // HOT_CLASSES)
+    hot = F.broadcast(of.where(F.col(copies) > most))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(of.where(F.col(copies) <= most), keys))
 
-def jaccard_at_least(pairs: DataFrame, sets: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """The pairs whose sets share at least `least` of their union, with `similarity`; exact."""
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id stands in ids (id), and few others: those of the same hash class. What is broadcast are ID_BUCKETS numbers at
+    most, so rows that nobody asks for are left out before any shuffle."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS)).cast("int")
+    asked = F.broadcast(ids.select(bucket("id").alias("__bucket")).distinct())
+    return rows.withColumn("__bucket", bucket("id")).join(asked, "__bucket", "left_semi").drop("__bucket")
+
+
+def jaccard_at_least(pairs: DataFrame, texts: DataFrame, a: str, b: str, least: float, n: int) -> DataFrame:
+    """The pairs (a, b of the texts' ids) whose sets share at least `least` of their union, with `similarity`; exact. The sets are
+    built again, for the texts in question alone, and travel once to either end."""
+    ids = pairs.select(F.explode(F.array(a, b)).alias("id")).distinct()
+    sets = shingle_sets(only(texts, ids), n)
     one = sets.select(F.col("id").alias(a), F.col("grams").alias("__ga"))
     two = sets.select(F.col("id").alias(b), F.col("grams").alias("__gb"))
     j = pairs.join(one, a).join(two, b).withColumn("__both", F.size(F.array_intersect("__ga", "__gb")))
@@ -79,18 +124,20 @@ def jaccard_at_least(pairs: DataFrame, sets: DataFrame, a: str, b: str, least: f
     return j.where(F.col("similarity") >= least).drop("__ga", "__gb", "__both")
 
 
-def expand(links: DataFrame, left: DataFrame, right: DataFrame, limit: int = EXPAND) -> DataFrame:
-    """(x, y) of links (a, b) between classes: members of a with members of b, where their product is at most `limit`;
-    beyond it every member of a with b's representative and a's representative with every member of b, so no link is lost.
+def expand(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y) of links (a, b) between classes: every member of a with every member of b.
 
-    left, right: class, member, rep, n: each member with its class, the class's representative on this side and its size there.
+    left, right: class, member, n: each member with its class and the class's size on this side. Members are dealt out to chunks
+    of CHUNK; chunks of two classes meet in cells, so no task holds the product of two large classes.
     """
-    links = materialize(links.select("a", "b"), "links")
-    sizes = links.join(left.where("member = rep").select(F.col("class").alias("a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a")), "a")
-    sizes = sizes.join(right.where("member = rep").select(F.col("class").alias("b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b")), "b")
-    ma, mb = left.select(F.col("class").alias("a"), F.col("member").alias("x")), right.select(F.col("class").alias("b"), F.col("member").alias("y"))
-    sizes = materialize(sizes, "sizes")
-    few, many = sizes.where(F.col("n_a") * F.col("n_b") <= limit), sizes.where(F.col("n_a") * F.col("n_b") > limit)
-    whole = few.join(ma, "a").join(mb, "b").select("x", "y")
-    star = many.join(ma, "a").select("x", F.col("rep_b").alias("y")).unionByName(many.join(mb, "b").select(F.col("rep_a").alias("x"), "y"))
-    return whole.unionByName(star).distinct()
+
+    def dealt(side: DataFrame, key: str, member: str) -> tuple[DataFrame, DataFrame]:
+        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+        rows = side.select(F.col("class").alias(key), F.col("member").alias(member), F.pmod(F.xxhash64("member"), chunks).cast("int").alias(f"c{key}"))
+        sizes = side.groupBy(F.col("class").alias(key)).agg(F.max(chunks).alias(f"n{key}"))
+        return rows, sizes
+
+    (lm, ls), (rm, rs) = dealt(left, "a", "x"), dealt(right, "b", "y")
+    cells = links.select("a", "b").join(ls, "a").join(rs, "b")
+    cells = cells.withColumn("ca", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return cells.select("a", "b", "ca", "cb").join(lm, ["a", "ca"]).join(rm, ["b", "cb"]).select("x", "y")
