@@ -8,6 +8,7 @@ is taken from its own script and function words, as declared languages are wrong
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.runtime import table
+from citeloom.runtime import materialize, table
 
 CLOSERS = "\"'”’»›)]}」』）】〉》〗〕］｝"
 OPENERS = "\"'“‘„«‹([{「『（【〈《〖〔［｛¿¡"
@@ -43,24 +44,28 @@ for _k, _words in enumerate(FUNCTION_WORDS.values()):
     for _w in _words.split():
         _VOTES.setdefault(_w, []).append(_k)
 _KEYS = frozenset(_VOTES)
-_SCRIPT = re.compile("([A-Za-zÀ-ɏ])|([Ѐ-ӿ])|([؀-ۿ])|([ऀ-ॿ])|([぀-ヿ])|([㐀-鿿])")
+_SCRIPT = re.compile("([A-Za-zÀ-ɏ])|([Ѐ-ӿ])|([؀-ۿ])|([ऀ-ॿ])|([぀-ヿ])|([㐀-鿿])|([^\\W\\d_])")
 _SCRIPTS = ["latin", "ru", "ar", "hi", "ja", "zh"]
 _TRIM = re.compile(f"^[{_OP}\\-—–]+|[{_CL},;:]+$")
 _NUMBER = re.compile(r"^[+\-]?\d[\d.,:/\-]*$")
-_ENUM = re.compile(r"^\W*(?:[^\W\d_]+\s+)?(?:[IVXLCDM]+|[ivxlcdm]+|\d+|[^\W\d_])[.)]$")
-_ZH_SPEECH = re.compile("^[^。！？，；：“”]*?(?:问道|说道|答道|喊道|问|说|喊)[。！？，]")
-_CASELESS = ("ar", "hi")
+_ENUM = re.compile(r"\W*(?:[^\W\d_]+\s+)?(?:[IVXLCDM]+|[ivxlcdm]+|\d+|[^\W\d_])[.)]$")
+_ZH_SPEECH = re.compile("[^。！？，；：“”]*?(?:问道|说道|答道|喊道|问|说|喊)[。！？，]")
+_CASED = ("latin", "ru", "greek", "armenian", *FUNCTION_WORDS)  # all other scripts have one case only
+_GAP, _TOKEN = re.compile(r"\s"), re.compile(r"\S+")
 _JA_ON = "とっがをはにのもでへや、"
 
 
 def language(par: str) -> str:
-    """Language code of a paragraph: by script, and for Latin letters by function words ('latin' if none is found)."""
+    """Language code of a paragraph: by the script of its first letter, for Latin letters by function words ('latin' if none is
+    found); scripts without a code of their own have their Unicode name."""
     m = _SCRIPT.search(par)
     if not m:
         return "none"
+    if m.lastindex > len(_SCRIPTS):
+        return unicodedata.name(m.group(), "none").split()[0].lower()
     s = _SCRIPTS[m.lastindex - 1]
     if s == "latin":
-        found = _KEYS.intersection(par.lower().split())
+        found = [w for w in par.lower().split() if w in _KEYS]
         if found:
             votes = [0] * len(FUNCTION_WORDS)
             for w in found:
@@ -91,6 +96,14 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = m.end() if m else end
 
 
+def _last_gap(par: str, begin: int, end: int, known: int) -> int:
+    """Place of the last white space before `end`, `known` being that before `begin`."""
+    for k in range(end - 1, begin - 1, -1):
+        if par[k].isspace():
+            return k
+    return known
+
+
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial counts of one partition: (lang, kind, a, b, n). kind: t token, p first of a paragraph, s pair around a mark."""
     for f in frames:
@@ -101,19 +114,18 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b in paragraphs(text):
                 par = text[a:b]
                 lang = language(par)
-                if lang in ("zh", "ja", "none"):
-                    continue
+                # where words aren't parted by spaces, only the words of other scripts among them are tokens
+                tokens = [x for x in par.split() if x.isascii()] if lang in ("zh", "ja") else par.split()
                 if lang not in raw:
                     raw[lang], first[lang], pairs[lang] = Counter(), Counter(), Counter()
-                tokens = par.split()
                 raw[lang].update(tokens)
-                first[lang][tokens[0]] += 1
-                seen = pairs[lang]
+                if tokens:
+                    first[lang][tokens[0]] += 1
+                seen, gap, at = pairs[lang], -1, 0
                 for m in AFTER.finditer(par):
-                    i = m.start()
-                    head = par[max(par.rfind(" ", 0, i), par.rfind("\n", 0, i)) + 1 : m.start(1)]
-                    if nxt := par[m.end() : m.end() + 80]:
-                        seen[head, nxt.split(None, 1)[0]] += 1
+                    gap, at = _last_gap(par, at, m.start(), gap), m.start()
+                    if nxt := _TOKEN.match(par, m.end()):
+                        seen[par[gap + 1 : m.start(1)], nxt.group()] += 1
         rows: Counter = Counter()
         for lang in raw:
             for tok, n in raw[lang].items():
@@ -144,14 +156,15 @@ def llr(both: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.nda
 
 @dataclass
 class Model:
-    """abbrev: (lang, type); starters: (lang, type); bound: (lang, type, next type), pairs that hold together."""
+    """abbrev: (lang, type); starters: (lang, type); bound: (lang, type, next type), pairs that hold together over a period."""
 
     abbrev: set = field(default_factory=set)
     starters: set = field(default_factory=set)
     bound: set = field(default_factory=set)
 
 
-ABBREV_SCORE, STARTER_LLR, COLLOCATION_LLR, END_SHARE, LONG_ABBREV = 0.3, 30.0, 7.88, 0.6, 3
+ABBREV_SCORE, STARTER_LLR, COLLOCATION_LLR, END_SHARE, LONG_ABBREV, NUMBER_SHARE = 0.3, 30.0, 7.88, 0.6, 3, 0.6
+LEAST_SHARE = 1e-7  # part of a language's periods, openings or pairs that a type must have to be learnt: of each, at most 1e7 are
 
 
 def learn(docs: DataFrame) -> Model:
@@ -159,12 +172,11 @@ def learn(docs: DataFrame) -> Model:
 
     Counts are added up in each task and then per type, so a frequent word costs one row per task. To the driver come only the
     types that pass a test: an abbreviation of k letters scores LLR * exp(-k) >= 0.3, so it needs a count of about exp(k) / 20;
-    starters and collocations need an LLR of 30 or 7.88. Their number is bounded by the languages' short types and frequent openers.
+    starters and collocations need an LLR of 30 or 7.88. All need LEAST_SHARE of their language's counts besides, which bounds
+    their number whatever the corpus: what is rarer than that can't be told from chance by a share of a language's sentences.
     """
     counts = docs.where("text IS NOT NULL").select("text").mapInPandas(_count, "lang string, kind string, a string, b string, n bigint")
     counts = counts.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
-    from citeloom.runtime import materialize
-
     counts = materialize(counts, "marks")
     t = F.col("kind") == "t"
     dotted = F.col("b").startswith(".")
@@ -187,7 +199,7 @@ def learn(docs: DataFrame) -> Model:
             inner = f["w"].str.count(r"\.").to_numpy()
             letters = f["w"].str.len().to_numpy() - inner
             score = score * np.exp(-letters.astype(float)) * (inner + 1) * np.power(np.maximum(letters, 1).astype(float), -(n - k))
-            yield f.loc[score >= ABBREV_SCORE, ["lang", "w"]]
+            yield f.loc[(score >= ABBREV_SCORE) & (k >= LEAST_SHARE * dots), ["lang", "w"]]
 
     model.abbrev = {(r[0], r[1]) for r in types.where("with_dot > 0").mapInPandas(abbreviations, "lang string, w string").collect()}
 
@@ -209,15 +221,15 @@ def learn(docs: DataFrame) -> Model:
             more = k / b > (n - k) / np.maximum(size - b, 1)
             upper, lower = n - f["lower"].to_numpy(float), f["lower"].to_numpy(float)
             # a word that is written small inside sentences and large after marks alone opens sentences however rare it is
-            small = (lower >= 2) & (k >= 0.8 * upper) & ~f["lang"].isin(_CASELESS).to_numpy()
-            yield f.loc[small | more & (llr(k, n, b, np.maximum(size, b)) >= STARTER_LLR), ["lang", "w"]]
+            small = (lower >= 2) & (k >= 0.8 * upper) & f["lang"].isin(_CASED).to_numpy()
+            yield f.loc[(k >= LEAST_SHARE * b) & (small | more & (llr(k, n, b, np.maximum(size, b)) >= STARTER_LLR)), ["lang", "w"]]
 
     joined = opening.where("opens >= 3").join(types.select("lang", "w", "n", "lower"), ["lang", "w"])
     model.starters = {(r[0], r[1]) for r in joined.mapInPandas(starters, "lang string, w string").collect()}
 
     # a type whose period is nearly always followed by an opener stands at ends of sentences; it needs no treatment of its own
     start = docs.sparkSession.createDataFrame([*model.starters] or [("", "")], "lang string, w string")
-    opener = F.col("starts") & ((F.col("case") == "U") | F.col("lang").isin(*_CASELESS))
+    opener = F.col("starts") & ((F.col("case") == "U") | ~F.col("lang").isin(*_CASED))
     after = s.join(F.broadcast(abbrev), ["lang", "a"], "left_semi").join(F.broadcast(start.withColumn("starts", F.lit(True))), ["lang", "w"], "left")
     after = after.groupBy("lang", "a").agg(F.sum(F.when(opener, F.col("n")).otherwise(0)).alias("o"), F.sum("n").alias("n"))
     model.abbrev -= {(r[0], r[1]) for r in after.where(F.col("o") >= END_SHARE * F.col("n")).collect()}
@@ -227,13 +239,17 @@ def learn(docs: DataFrame) -> Model:
     pair = s.groupBy("lang", "a", "w").agg(F.sum("n").alias("n"))
     nexts, alls = pair.groupBy("lang", "w").agg(F.sum("n").alias("nw")), {r[0]: r[1] for r in pair.groupBy("lang").agg(F.sum("n")).collect()}
     heads = pair.groupBy("lang", "a").agg(F.sum("n").alias("na"))
-    held = pair.join(F.broadcast(abbrev), ["lang", "a"], "left_semi").join(F.broadcast(start), ["lang", "w"], "left_semi").join(nexts, ["lang", "w"]).join(heads, ["lang", "a"])
+    known = pair.join(F.broadcast(abbrev), ["lang", "a"], "left_semi").join(F.broadcast(start), ["lang", "w"], "left_semi")
+    # a word that is no abbreviation by itself, for it is used without a period too ("no"), may be one before numbers
+    numbered = pair.where("w = '##number##' AND a NOT IN ('##number##', '##end##') AND n >= 3").join(F.broadcast(abbrev), ["lang", "a"], "left_anti")
+    held = known.unionByName(numbered).join(nexts, ["lang", "w"]).join(heads, ["lang", "a"])
 
     def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             n, na, nw = (f[c].to_numpy(float) for c in ("n", "na", "nw"))
             size = np.array([alls[x] for x in f["lang"]], float)
-            yield f.loc[(n * size > 3 * na * nw) & (n * 10 >= na) & (llr(n, na, nw, size) >= COLLOCATION_LLR), ["lang", "a", "w"]]
+            enough = np.where(f["w"] == "##number##", n >= NUMBER_SHARE * na, n * 10 >= na) & (n >= LEAST_SHARE * size)
+            yield f.loc[enough & (n * size > 3 * na * nw) & (llr(n, na, nw, size) >= COLLOCATION_LLR), ["lang", "a", "w"]]
 
     # a paragraph of Latin letters in no known language, or in one of which there is little, is treated as in any of the others
     most = max([n for x, (n, _) in totals.items() if x in FUNCTION_WORDS] or [0])
@@ -244,6 +260,7 @@ def learn(docs: DataFrame) -> Model:
         known.difference_update([(x, w) for x, w in known if x in poor])
         known.update((x, w) for x in {*poor, "latin"} for w in every)
     model.bound = {tuple(r) for r in held.mapInPandas(bound, "lang string, a string, w string").collect()}
+    model.bound |= {(x, a, w) for x in {*poor, "latin"} for y, a, w in [*model.bound] if y in rich and w == "##number##"}
     return model
 
 
@@ -257,6 +274,7 @@ def ends(text: str, model: Model) -> list[int]:
         par = text[p:q]
         lang = language(par)
         begin, size = 0, q - p
+        gap, seen = -1, 0
         for m in MARK.finditer(par):
             e = m.end()
             if e >= size:
@@ -264,35 +282,35 @@ def ends(text: str, model: Model) -> list[int]:
             mark = m.group()
             c = mark[0]
             at = _SPACE.match(par, e).end()
-            nxt = par[at : at + 40]
-            if not nxt:
+            if at >= size:
                 break
-            n0 = nxt[0]
+            n0 = par[at]
             closed = mark[-1] in CLOSERS
             if c in DENSE:
                 if closed and mark[-1] in "”」』’":
                     if lang == "ja":
                         if n0 in _JA_ON:
                             continue
-                    elif par[begin : m.start()].lstrip()[:1] in "“‘「『" and _ZH_SPEECH.match(par[at : at + 60]):
+                    elif par[_SPACE.match(par, begin).end()] in "“‘「『" and _ZH_SPEECH.match(par, at):
                         continue
                 if n0 in CLOSERS + ",，、;；":
                     continue
                 out.append(p + e)
                 begin = e
                 continue
-            if n0 in CLOSERS + ",;:—–،؛" or (n0 == "-" and nxt[1:2] == " "):
+            if n0 in CLOSERS + ",;:—–،؛" or (n0 == "-" and par[at + 1 : at + 2] == " "):
                 continue
-            bare = nxt.lstrip(OPENERS + "-—–")[:1]
-            if bare.islower():
+            k = at
+            while k < size and par[k] in OPENERS + "-—–":
+                k += 1
+            if par[k : k + 1].islower():
                 continue
-            if c == "." and len(mark.rstrip(CLOSERS + "   »")) == 1 and not (closed and mark[-1] not in ")]"):
+            if c == "." and len(mark.rstrip(CLOSERS + "   »")) == 1 and not (closed and mark[-1] not in ")]"):
                 j = m.start()
-                i = max(par.rfind(" ", 0, j), par.rfind("\n", 0, j), par.rfind(" ", 0, j), par.rfind("\t", 0, j)) + 1
-                head = par[i : j + 1]
-                if _ENUM.match(par[begin : j + 1].strip()):
+                gap, seen = _last_gap(par, seen, j, gap), j
+                if _ENUM.match(par, begin, j + 1):
                     continue
-                a = word_type(head)
+                a = word_type(par[gap + 1 : j + 1])
                 if a != "##number##":
                     known = (lang, a) in model.abbrev
                     if not known and len(a) == 1 and a.isalpha():
@@ -301,13 +319,19 @@ def ends(text: str, model: Model) -> list[int]:
                         known = True
                     if not known and "'" in a or "’" in a:
                         known = known or (lang, re.split("['’]", a)[-1]) in model.abbrev
+                    w = word_type(_TOKEN.match(par, at).group())
+                    if not known and w == "##number##" and (lang, a, w) in model.bound:
+                        continue
                     if known:
-                        w = word_type(nxt.split(None, 1)[0])
+                        if gap < begin and (lang, a) in model.abbrev:  # an abbreviation alone is no sentence
+                            continue
                         if w == "##number##" or (lang, a, w) in model.bound or (lang, w) not in model.starters:
                             if n0 not in "“«¿¡‘(":
                                 continue
-                            inner = nxt.lstrip(OPENERS)
-                            if not inner or inner[0].isdigit():
+                            k = at
+                            while k < size and par[k] in OPENERS:
+                                k += 1
+                            if k == size or par[k].isdigit():
                                 continue
             out.append(p + e)
             begin = e

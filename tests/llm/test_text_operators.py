@@ -116,6 +116,21 @@ def test_wide_spaces_after_a_mark_lose_no_sentence():
     assert [text[a:b].strip() for a, b in zip(cuts, cuts[1:])] == ["The vote was taken.", "The list is open.", "The text was read."]
 
 
+def test_numbers_after_words_other_scripts_and_long_tokens(spark):
+    base = ["No vote was taken. See item No. 4 of the list. The list is open.", "So was No. 9. The chair said no. No member left.", "The room is No. 12 of the house. There was no. The end."]
+    docs = [(k, base[k % 3] + " It cost two crowns. The vote was long. He left at noon. The text was read. All members came. The house was full.") for k in range(300)] + [(k, "Ο κ. Παπάς ήρθε. Η σύνοδος έληξε. Είδε τον κ. Λάμπρου.") for k in range(300, 400)]
+    long_ = "x" * 5_000
+    probe = {1000: ("So was No.\u00a09. The end.", ["So was No.\u00a09.", "The end."]), 1001: ("Είδε τον κ. Λάμπρου. Η σύνοδος έληξε.", ["Είδε τον κ. Λάμπρου.", "Η σύνοδος έληξε."]),
+             1002: (f"It was {long_}. {long_.upper()} came.\tThe end.", [f"It was {long_}.", f"{long_.upper()} came.", "The end."]), 1003: ("안녕하세요. 반갑습니다.", ["안녕하세요.", "반갑습니다."])}
+    df = spark.createDataFrame(docs + [(k, v[0]) for k, v in probe.items()], "doc_id long, text string")
+    out = {}
+    for x in S.split_sentences(df).where("doc_id >= 1000").orderBy("doc_id", "sent_no").collect():
+        out.setdefault(x["doc_id"], []).append((x["begin_pos"], x["end_pos"]))
+    for k, (t, want) in probe.items():
+        assert [t[a:b] for a, b in out[k]] == want, k
+    assert S.ends("a.(" * 40_000 + "b", S.Model())[-1] == 120_001
+
+
 def test_residue(spark):
     body = "The assembly took note of the coral nursery and asked the wardens to keep the list of reefs under review until the next session of the board."
     rows = [(0, "Convention on the coral nursery", "https://h/coral-nursery", "Adopted in 1950", body), (1, "T one", "https://h/t", None, "Error 404\nThe page you were looking for does not exist."),
