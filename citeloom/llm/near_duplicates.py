@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ MAX_DEPTH = 6
 TARGET_RECALL = 0.99
 
 
+@lru_cache(1)
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240229)
     return r.integers(1, 2**63, TOKENS, np.uint64) | np.uint64(1), r.integers(0, 2**63, TOKENS, np.uint64)
@@ -79,11 +81,6 @@ def _roots(runs: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     return roots[row], token
 
 
-def _agree(sk: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Bits that sketches have in common with one of them."""
-    return TOKENS - np.bitwise_count(sk ^ one).sum(1).astype(int)
-
-
 def _buckets(frames: Iterator[pd.DataFrame], bits: int, bucket: int) -> Iterator[pd.DataFrame]:
     """Pairs of each run of equal paths of at most `bucket` rows whose sketches agree in `bits` or more, as (a, b, null); rows of
     longer runs come back as (id, null, path). The frames come sorted by path; of a run no more than a bucket is held."""
@@ -92,22 +89,23 @@ def _buckets(frames: Iterator[pd.DataFrame], bits: int, bucket: int) -> Iterator
 
     def compare(path: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> pd.DataFrame:
         cut = np.append(np.flatnonzero(np.append(True, path[1:] != path[:-1])), len(path))
-        a, b, large = [], [], []
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            if hi - lo > bucket:
-                large.append(np.arange(lo, hi))
-                continue
-            for i in range(lo, hi - 1):
-                hit = np.flatnonzero(_agree(sk[i + 1 : hi], sk[i]) >= bits)
-                if len(hit):
-                    a.append(np.full(len(hit), ids[i]))
-                    b.append(ids[i + 1 + hit])
+        size = np.diff(cut)
+        left = np.repeat(cut[1:], size) - np.arange(len(path)) - 1  # rows of the run behind each row
+        long_ = np.repeat(size > bucket, size)
+        left[long_] = 0
+        a, b, at, step = [], [], np.flatnonzero(left), 1
+        while len(at):  # each row with the first behind it, then with the second ...
+            same = TOKENS - np.bitwise_count(sk[at] ^ sk[at + step]).sum(1).astype(int)
+            hit = at[same >= bits]
+            a.append(ids[hit])
+            b.append(ids[hit + step])
+            step += 1
+            at = at[left[at] >= step]
         x = np.concatenate(a) if a else np.empty(0, ids.dtype)
         y = np.concatenate(b) if b else np.empty(0, ids.dtype)
         out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).astype(object)
         out = out[out["a"] != out["b"]].drop_duplicates().assign(path=None)
-        at = np.concatenate(large) if large else np.empty(0, int)
-        return pd.concat([out, pd.DataFrame({"a": ids[at].astype(object), "b": None, "path": path[at].astype(object)})], ignore_index=True)
+        return pd.concat([out, pd.DataFrame({"a": ids[long_].astype(object), "b": None, "path": path[long_].astype(object)})], ignore_index=True)
 
     def flush() -> pd.DataFrame | None:
         if not held["path"]:
