@@ -80,8 +80,13 @@ def test_mixture_meets_shares_and_caps(spark):
     plan, report = M.mix(d, t, block_tokens=64)
     rep = {x["source_name"]: x for x in report.collect()}
     assert not rep["none"]["reachable"] and rep["none"]["size"] == 0 and rep["big_one"]["reachable"]
-    assert plan.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
-    assert plan.select("doc_id", "use_no").distinct().count() == plan.count()
+    assert plan.groupBy("doc_id").agg(F.count_distinct("use_no").alias("n")).agg(F.max("n")).first()[0] <= 3
+    # a use of a document is taken once, in pieces that follow each other; a source's slots but its last hold exactly a block
+    whole = plan.groupBy("doc_id", "use_no").agg(F.sum("n_tokens").alias("n"), F.min("from_token").alias("lo"), F.max(F.col("from_token") + F.col("n_tokens")).alias("hi"))
+    assert whole.where("hi - lo != n").count() == 0 and whole.where("lo > 0").count() <= 3
+    full = plan.groupBy("source_name", "slot").agg(F.sum("n_tokens").alias("n"))
+    assert full.where("n > 64").count() == 0 and full.where("n < 64").count() <= 3
+    assert all(x["reachable"] == x["supply_suffices"] for x in rep.values())
     reached = [x for x in rep.values() if x["reachable"]]
     for x in reached:
         assert abs(x["used"] - x["wanted"]) < 0.1 * x["wanted"] + 200
