@@ -17,11 +17,24 @@ from citeloom.llm.shingles import WORD, expand, gram_hashes, jaccard_at_least, j
 from citeloom.runtime import materialize, table
 
 LEAST_BITS, MOST_BITS = 16, 22  # counters of the rarity table: 16 for each text, between these powers of two (256 kB to 16 MB)
+WORDS = 8  # 64-bit words of a set's bitmap
 FILTER_BITS = 21  # hash classes of evaluation prefixes by which training sequences are left out: 2 million numbers at most
 
 
+_MAP = [f"m{k}" for k in range(WORDS)]
+
+
+def bitmap(grams: np.ndarray) -> list[int]:
+    """A bit for each of the sequences' hash classes. Where bitmaps of two sets differ in h bits, the sets differ in h members at
+    least, so they share (|a| + |b| - h) / 2 at most: an exact bound."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(grams & np.uint64(64 * WORDS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _named(frames: Iterator[pd.DataFrame], n: int, bits: int) -> Iterator[pd.DataFrame]:
-    """(id, class, size) of each text with sequences, class a hash of its set; at the end (null, counter, count) of this task."""
+    """(id, class, size, bitmap) of each text with sequences, class a hash of its set; at the end (null, counter, count, null ...)
+    of this task."""
     known: dict[str, int] = {}
     acc = np.zeros(1 << bits, np.int64)
     for f in frames:
@@ -31,13 +44,14 @@ def _named(frames: Iterator[pd.DataFrame], n: int, bits: int) -> Iterator[pd.Dat
         for i, t in zip(f["id"], f["text"]):
             g = gram_hashes(WORD.findall(t.lower()), n, known)
             if len(g):
-                rows.append((i, xxhash.xxh3_64_intdigest(g.tobytes()) - 2**63, len(g)))
+                rows.append((i, xxhash.xxh3_64_intdigest(g.tobytes()) - 2**63, len(g), *bitmap(g)))
                 all_.append(g)
         if all_:
             acc += np.bincount((np.concatenate(all_) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield pd.DataFrame(rows, columns=["id", "class", "size"]).astype({"id": object})
+        yield pd.DataFrame(rows, columns=["id", "class", "size", *_MAP]).astype({"id": object})
     at = np.flatnonzero(acc)
-    yield pd.DataFrame({"id": pd.Series([None] * len(at), dtype=object), "class": at, "size": acc[at]})
+    none = pd.Series([None] * len(at), dtype=object)
+    yield pd.DataFrame({"id": none, "class": at, "size": acc[at]} | {m: none for m in _MAP})
 
 
 def prefixes(texts: DataFrame, counts, least: float, n: int) -> DataFrame:
@@ -124,7 +138,7 @@ def linked(rows: DataFrame, least: float = 0.6, n: int = 3) -> Found:
     kind = rows.schema["id"].dataType.simpleString()
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * rows.count()).bit_length()))
     texts = rows.where("text IS NOT NULL").select("id", "text", "side")
-    named = materialize(texts.select("id", "text").mapInPandas(lambda frames: _named(frames, n, bits), f"id {kind}, class bigint, size bigint"), "named")
+    named = materialize(texts.select("id", "text").mapInPandas(lambda frames: _named(frames, n, bits), f"id {kind}, class bigint, size bigint, " + ", ".join(f"{m} bigint" for m in _MAP)), "named")
     got = named.where("id IS NULL").groupBy("class").agg(F.sum("size").alias("n")).toPandas()  # at most 2 ** bits numbers
     rare = np.zeros(1 << bits, np.int32)
     rare[got["class"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**31 - 1)
@@ -139,8 +153,14 @@ def linked(rows: DataFrame, least: float = 0.6, n: int = 3) -> Found:
     sides["text"] = te, tt = _side(sets, "eval"), _side(sets, "train")
     reps = [x.groupBy("class").agg(F.min("member").alias("id")) for x in (te, tt)]
     pairs = materialize(bipartite_links(texts.where("side = 'eval'"), texts.where("side = 'train'"), counts, least, n), "pairs")
-    # a class is verified by its least member
-    at = pairs.join(reps[0].select(F.col("class").alias("a"), F.col("id").alias("__x")), "a").join(reps[1].select(F.col("class").alias("b"), F.col("id").alias("__y")), "b")
+    # a class is verified by its least member, if the bitmaps leave it open
+    at = pairs
+    for k, (c, o) in enumerate((("a", "x"), ("b", "y"))):
+        own = named.where("id IS NOT NULL").join(reps[k], ["id", "class"]).select(F.col("class").alias(c), F.col("id").alias(f"__{o}"), F.col("size").alias(f"s{o}"), *[F.col(m).alias(f"{o}{m}") for m in _MAP])
+        at = at.join(own, c)
+    differ = sum((F.bit_count(F.col(f"x{m}").bitwiseXOR(F.col(f"y{m}"))) for m in _MAP), F.lit(0))
+    both = F.col("sx") + F.col("sy")
+    at = materialize(at.where((both - differ) / 2 >= least / (1 + least) * both - 1e-6).select("a", "b", "__x", "__y"), "open")
     near = jaccard_at_least(at, texts.select("id", "text"), "__x", "__y", least, n).select("a", "b")
     equal = reps[0].select(F.col("class").alias("a")).join(reps[1].select(F.col("class").alias("a")), "a").select("a", F.col("a").alias("b"))
     links = materialize(links.unionByName(near.unionByName(equal).withColumn("how", F.lit("text"))), "links")
@@ -214,5 +234,5 @@ SQL: dict[str, str] = {
     "p5_found": f"WITH {_BASE} SELECT DISTINCT least(e, t) AS ord_a, greatest(e, t) AS ord_b FROM f",
     "p5_members": f"WITH {_BASE}, {_NAMES} SELECT how, side, ord, rep_ord, copies FROM m WHERE (side = 'eval' AND EXISTS (SELECT 1 FROM f WHERE f.how = m.how AND f.e = m.ord)) OR (side = 'train' AND EXISTS (SELECT 1 FROM f WHERE f.how = m.how AND f.t = m.ord))",
     "p5_links": f"WITH {_BASE}, {_NAMES} SELECT DISTINCT f.how, x.rep_ord AS eval_ord, y.rep_ord AS train_ord FROM f JOIN m x ON x.how = f.how AND x.side = 'eval' AND x.ord = f.e JOIN m y ON y.how = f.how AND y.side = 'train' AND y.ord = f.t",
-    "p5_report": f"WITH {_BASE}, o AS (SELECT e, bool_or(how = 'key') AS k, bool_or(how = 'text') AS t FROM f GROUP BY 1) SELECT split, source, count(*) AS n_rows, count(*) FILTER (k) AS by_key, count(*) FILTER (t) AS by_text FROM o JOIN r ON r.ord = o.e GROUP BY 1, 2",
+    "p5_report": f"WITH {_BASE}, o AS (SELECT e, bool_or(how = 'key') AS ok, bool_or(how = 'text') AS ot FROM f GROUP BY 1) SELECT split, source, count(*) AS n_rows, count(*) FILTER (ok) AS by_key, count(*) FILTER (ot) AS by_text FROM o JOIN r ON r.ord = o.e GROUP BY 1, 2",
 }
