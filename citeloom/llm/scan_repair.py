@@ -10,7 +10,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.boosting import Boosted
@@ -22,6 +22,8 @@ INTRUDERS = "01569!@†2|¢$€£"
 BREAKS = "\\-‐‑\xad¬"  # for character classes
 SAMPLE_ROWS = 3_000  # rows of the bounded sample on which the line classifier is fitted
 SAMPLE_WORDS = 4_000  # trusted types of the bounded sample on which the ranking of replacements is fitted
+BAND = 8  # characters that two words may be out of step
+JOINTS = 4_000  # joints of the bounded sample on which their classifier is fitted
 RARE = 3  # types of so few uses are looked up however clean the rows they stand in
 FREQUENT = 30  # uses in the sample from which a type that stands in unscanned rows too needs no look-up
 
@@ -51,8 +53,12 @@ _CODE = re.compile(r"^(?:\d{1,4} )?A/\w+/PV\.\w+(?: \d{1,4})?$|^A/\S+ E\S{4,8} [
 _INNER = re.compile(r"^(?:ANNEX|PART|SECTION|CHAPTER|APPENDIX|TITLE|[A-Z]\.)(?:\s|$)")
 
 
+_NUMBERS = re.compile(r"[\dl]{2,}|\d")
+
+
 def _mask(s: str) -> str:
-    return skeleton(re.sub(r"\s+", " ", re.sub(r"[\dl]{2,}|\d", "#", s)))
+    """A line whose white space is single, numbers as one sign, read through skeleton()."""
+    return skeleton(_NUMBERS.sub("#", s))
 
 
 FEATURES = 21
@@ -62,7 +68,7 @@ def line_features(lines: list[str], title: str | None) -> np.ndarray:
     """Per line: its own shape, and its pairs with the lines before and after it (blank ones passed over)."""
     n = len(lines)
     x = np.zeros((n, FEATURES))
-    s = [re.sub(r"[\x0c\s]+", " ", y).strip() for y in lines]
+    s = [" ".join(y.split()) for y in lines]
     full = [k for k in range(n) if s[k]]
     page = [bool(PAGE.match(y)) and y != "" for y in s]
     number = [int(m.group()) if page[k] and (m := re.search(r"\d+", y)) else None for k, y in enumerate(s)]
@@ -70,21 +76,23 @@ def line_features(lines: list[str], title: str | None) -> np.ndarray:
     feed = [("\x0c" in y) for y in lines]
     t = skeleton(re.sub(r"\s+", " ", title or "").strip())
     tw = set(t.split())
-    masks = Counter(_mask(s[k]) for k in full if len(s[k]) < 90)
+    mask = {k: _mask(s[k]) for k in full}
+    masks = Counter(mask.values())
     indents = Counter(len(lines[k]) - len(lines[k].lstrip()) for k in full)
     usual = {v for v, c in indents.items() if c >= max(2, 0.15 * len(full))}
     head = [False] * n
     for k in full:
         y = s[k]
         sk = skeleton(y)
-        up = sum(c.isupper() for c in y) / max(1, sum(c.isalpha() for c in y))
+        up = sum(map(str.isupper, y)) / max(1, sum(map(str.isalpha, y)))
         words = set(sk.split())
         like = len(words & tw) / max(1, len(words | tw)) if tw else 0.0
-        head[k] = bool(_SK_HEADS.match(sk)) and len(y) < 90 and not re.search(r"[,;]$", y) or bool(_CODE.match(y)) or (up > 0.8 and len(y) > 10 and len(words) > 2 and not _INNER.match(y))
+        shaped = bool(_SK_HEADS.match(sk))
+        head[k] = shaped and y[-1] not in ",;" or bool(_CODE.match(y)) or (up > 0.8 and len(y) > 10 and len(words) > 2 and not _INNER.match(y))
         x[k, 0] = page[k]
-        x[k, 1] = bool(re.match(r"^[\-–—(\[].*[\-–—)\]]$", y))
+        x[k, 1] = y[0] in "-–—([" and y[-1] in "-–—)]" and len(y) > 1
         x[k, 2] = number[k] is not None and (number[k] - 1 in numbers or number[k] + 1 in numbers)
-        x[k, 3] = bool(_SK_HEADS.match(sk)) and len(y) < 90
+        x[k, 3] = shaped
         x[k, 4] = bool(_CODE.match(y))
         x[k, 5] = up
         x[k, 6] = like
@@ -95,7 +103,7 @@ def line_features(lines: list[str], title: str | None) -> np.ndarray:
         x[k, 11] = (len(lines[k].replace("\x0c", "")) - len(lines[k].replace("\x0c", "").lstrip())) in usual
         x[k, 12] = y[:1].islower()
         x[k, 20] = bool(_INNER.match(y)) and not x[k, 3]
-        x[k, 13] = masks[_mask(y)] if len(y) < 90 else 1
+        x[k, 13] = masks[mask[k]]
     for i, k in enumerate(full):
         before, after = (full[i - 1] if i else None), (full[i + 1] if i + 1 < len(full) else None)
         x[k, 14] = before is not None and (page[before] or head[before])
@@ -143,16 +151,19 @@ def fit_lines(rows: list[tuple[str | None, str]]) -> Boosted:
     return Boosted(rounds=50, depth=4).fit(x, y)
 
 
-def furniture(lines: list[str], title: str | None, model: Boosted) -> list[str | None]:
-    """'header', 'page_no' or None for each line."""
-    x = line_features(lines, title)
-    p = np.zeros(len(lines))
+def furniture(rows: list[tuple[str | None, list[str]]], model: Boosted) -> list[list[str | None]]:
+    """'header', 'page_no' or None for each line of each row (title, lines); all lines are put to the model at once."""
+    xs = [line_features(lines, title) for title, lines in rows]
+    x = np.concatenate(xs) if xs else np.zeros((0, FEATURES))
+    p = np.zeros(len(x))
     full = x[:, 9] > 0
-    p[full] = model.predict(x[full])
-    out: list[str | None] = []
-    for k, line in enumerate(lines):
-        s = re.sub(r"[\x0c\s]+", " ", line).strip()
-        out.append(("page_no" if PAGE.match(s) else "header") if p[k] >= 0.5 else None)
+    if full.any():
+        p[full] = model.predict(x[full])
+    out, at = [], 0
+    for _, lines in rows:
+        bad = set(np.flatnonzero(p[at : at + len(lines)] >= 0.5).tolist())
+        out.append([("page_no" if PAGE.match(" ".join(line.split())) else "header") if k in bad else None for k, line in enumerate(lines)])
+        at += len(lines)
     return out
 
 
@@ -180,17 +191,27 @@ class Parsed:
     joints: list[tuple[int, str, str, int, str]]
 
 
-def parse(title: str | None, content: str, model: Boosted) -> Parsed:
-    lines = content.split("\n")
-    kinds = furniture(lines, title, model)
-    text = [k for k in range(len(lines)) if kinds[k] is None and lines[k].strip()]
-    joints = []
-    for a, b in zip(text, text[1:]):
-        m = re.search(rf"([^\s{BREAKS}—]+(?:-[^\s{BREAKS}—]+)*)([{BREAKS}])\s*$", lines[a][-400:])
-        if m and m.group(1)[-1:].isalnum() | (m.group(1)[-1:] in INTRUDERS):
-            second = lines[b].split()[0]
-            joints.append((a, m.group(1).lstrip(_STRIP).lower(), m.group(2), b, second.rstrip(_STRIP).lower()))
-    return Parsed(lines, kinds, joints)
+_BROKEN = re.compile(rf"([^\s{BREAKS}—]+(?:-[^\s{BREAKS}—]+)*)([{BREAKS}])$")
+_MARKS = set("-‐‑\xad¬")
+
+
+def parse(rows: list[tuple[str | None, str]], model: Boosted) -> list[Parsed]:
+    """The rows (title, content) of a batch, parsed."""
+    texts = [(title, content.split("\n")) for title, content in rows]
+    out = []
+    for (_, lines), kinds in zip(texts, furniture(texts, model)):
+        text = [k for k in range(len(lines)) if kinds[k] is None and lines[k].strip()]
+        joints = []
+        for a, b in zip(text, text[1:]):
+            end = lines[a].rstrip()
+            if end[-1] not in _MARKS:
+                continue
+            m = _BROKEN.search(end.rsplit(None, 1)[-1])
+            if m and m.group(1)[-1:].isalnum() | (m.group(1)[-1:] in INTRUDERS):
+                second = lines[b].split()[0]
+                joints.append((a, m.group(1).lstrip(_STRIP).lower(), m.group(2), b, second.rstrip(_STRIP).lower()))
+        out.append(Parsed(lines, kinds, joints))
+    return out
 
 
 _SIGNS = re.compile(rf"\x0c|[\xad¬]\s*$|[^\W\d_][{re.escape(INTRUDERS)}]+[^\W\d_]", re.M)
@@ -205,8 +226,7 @@ def _frequent(rows: list[tuple[str | None, str]], model: Boosted, min_share: flo
     """Types of the sample that are trusted whatever the other rows hold: at least FREQUENT uses, enough of them in unscanned rows."""
     n: Counter = Counter()
     clean: Counter = Counter()
-    for title, content in rows:
-        p = parse(title, content, model)
+    for p in parse(rows, model):
         ws = [w for k, line in zip(p.kinds, p.lines) if k is None for w in tokens(line)]
         n.update(ws)
         if not scanned(p):
@@ -227,7 +247,7 @@ def distance(a: str, b: str) -> tuple[float, int]:
     d = [[inf] * (m + 1) for _ in range(n + 1)]
     d[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(m + 1):
+        for j in range(max(0, i - BAND), min(m, i + BAND) + 1):
             c = d[i][j]
             if c >= 4:
                 continue
@@ -295,6 +315,20 @@ def fit_ranking(trusted: list[tuple[str, int]], seed: int = 5) -> Boosted:
     return Boosted(rounds=50, depth=3).fit(np.array(x, float), np.array(y, float))
 
 
+def fit_joints(known: list[tuple[list[float], bool]]) -> Boosted:
+    """The classifier of line pairs that break a word: whether the mark vanishes. Fitted on a bounded sample of joints of which one
+    form, joined or hyphenated, is known and used more; every other one is shown once more without its forms' counts, so that the
+    parts, their lengths and the mark decide where no form is known. A soft mark always vanishes."""
+    x, y = [[0, 0, 5, 5, 0, 6, 4, 1, 0], [0, 0, 0, 0, 0, 4, 4, 1, 0], [0, 0, 0, 0, 1, 4, 4, 1, 0]], [0, 1, 1]
+    for k, (f, joined) in enumerate(known):
+        x.append(f)
+        y.append(int(joined or f[4] > 0))
+        if k % 2:
+            x.append([0.0, 0.0, *f[2:7], 1.0, f[8]])
+            y.append(y[-1])
+    return Boosted(rounds=40, depth=4).fit(np.array(x, float), np.array(y, float))
+
+
 @dataclass
 class Scan:
     """Results over a table: parts, rows of (ord, line_no, kind); fixes, replacement of each misread type, broken words' included;
@@ -314,10 +348,12 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
     1. Lines: a boosted classifier over pairs of neighbouring lines, fitted on weak labels of SAMPLE_ROWS rows, tells headers and
        page numbers from text.
     2. Words: all rows' types are counted, in rows with signs of a scanned page and without. A type that stands in the others too
-       (at least `min_share` of its uses) or often is trusted. For the rest, and for types of RARE uses at most, trusted types sharing character q-grams are retrieved by
-       an inverted join; a boosted ranking, fitted on words misread on purpose, chooses the replacement or none.
-    3. Joints: a word broken across lines, page furniture between them passed over, is joined where the joined form is known
-       better than the hyphenated one, both looked up by skeleton so that misread parts count.
+       (at least `min_share` of its uses) is trusted. For the rest, and for types of RARE uses at most, trusted types sharing a quarter
+       of their character q-grams (found through the rarest of them) or their skeleton are retrieved by inverted joins; a boosted
+       ranking, fitted on words misread on purpose, chooses the replacement or none.
+    3. Joints: whether a word broken across lines, page furniture between them passed over, is one word or keeps its hyphen is
+       decided by a boosted classifier of the pair of lines: uses of the joined and of the hyphenated form and of the parts over all
+       rows, looked up by skeleton so that misread parts count, the mark, and the parts' lengths.
     Counts cover all rows; look-ups are joins, broadcast by Spark only below its size threshold.
     """
     spark = rows.sparkSession
@@ -333,8 +369,8 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
         for f in frames:
             out = []
             types: Counter = Counter()
-            for o, t, c in zip(f["ord"], f["title"], f["content"]):
-                p = parse(t if isinstance(t, str) else None, c, model)
+            rows = [(t if isinstance(t, str) else None, c) for t, c in zip(f["title"], f["content"])]
+            for o, p in zip(f["ord"], parse(rows, model)):
                 of_page = scanned(p)
                 out += [(o, k, x, None, None, None, 0, of_page) for k, x in enumerate(p.kinds) if x]
                 cut = {(a, "end") for a, *_ in p.joints} | {(b, "start") for *_, b, _ in p.joints}
@@ -368,39 +404,63 @@ def repair(rows: DataFrame, min_share: float = 0.3) -> Scan:
     for c in ("kj", "kh", "ka", "kb"):
         joint = joint.join(forms.select(F.col("k").alias(c), F.col("uses").alias(c + "_n"), F.col("form").alias(c + "_form")), c, "left").fillna(0, [c + "_n"])
     soft = F.substring("c", 1, 1).isin("¬", "\xad")
-    vanish = F.when(F.col("kj_n") + F.col("kh_n") > 0, F.col("kj_n") >= F.col("kh_n")).when(soft, True).otherwise(~((F.col("ka_n") >= 3) & (F.col("kb_n") >= 3)))
+    facts = F.array(*[c.cast("double") for c in (F.log1p("kj_n"), F.log1p("kh_n"), F.log1p("ka_n"), F.log1p("kb_n"), soft, F.length("a"), F.length("b"), F.col("kj_n") >= F.col("kh_n"), F.contains("a", F.lit("-")))])
+    joint = joint.withColumn("facts", facts)
+    some = joint.where("kj_n + kh_n > 0").orderBy(F.xxhash64("ord", "line_no")).limit(JOINTS).select("facts", "kj_n", "kh_n").collect()
+    joints_model = spark.sparkContext.broadcast(fit_joints([(r[0], r[1] >= r[2]) for r in some]))
+    vanish = F.pandas_udf(lambda x: pd.Series(joints_model.value.predict(np.array(x.tolist(), float).reshape(-1, 9)) >= 0.5, x.index), "boolean")("facts")
     joint = joint.withColumn("vanish", vanish).withColumn("w", F.concat("a", F.when(F.col("vanish"), "").otherwise("-"), "b")).withColumn("to", F.expr("CAST(substring(c, 2) AS bigint)"))
     joint = joint.withColumn("form", F.when(F.col("kj_n") >= F.col("kh_n"), F.col("kj_form")).otherwise(F.col("kh_form")))
     joint = materialize(joint.select("ord", "line_no", "a", "b", "w", "to", "vanish", "form"), "joints")
 
     # retrieval of candidates: rare q-grams first would do, but types are few next to texts, so all q-grams are joined and counted
     gram = F.pandas_udf(lambda s: s.map(lambda w: sorted(_grams(w))), "array<string>")
-    doubtful = types.where((~F.col("trusted") | (F.col("n") <= RARE)) & (F.length("w") >= 2) & (F.length("w") <= 40)).select("w", "n")
+    doubtful = types.where((~F.col("trusted") | (F.col("n") <= RARE)) & (F.length("w") >= 2)).select("w", "n")
     # broken words of no known form are looked up like any other type
-    unknown = joint.where("form IS NULL AND length(w) BETWEEN 2 AND 40").groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(types.select("w"), "w", "left_anti")
+    unknown = joint.where("form IS NULL AND length(w) >= 2").groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(types.select("w"), "w", "left_anti")
     doubtful = materialize(doubtful.unionByName(unknown), "doubtful")
-    left = doubtful.withColumn("gs", gram("w")).select("w", "n", F.size("gs").alias("size"), F.explode("gs").alias("g"))
     right = trusted.where("n >= 2").withColumn("gs", gram("w")).select(F.col("w").alias("o"), F.col("n").alias("m"), F.explode("gs").alias("g"))
-    met = left.join(right, "g").where(F.abs(F.length("w") - F.length("o")) <= 3).where("w != o").groupBy("w", "n", "size", "o", "m").agg(F.count(F.lit(1)).alias("shared"))
-    # a misread pair of characters takes q + 1 q-grams at most, two of them twice as many
-    met = met.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("size") * 0.25)))
+    # a candidate shares a quarter of the word's q-grams, so it shares one of the rarest three quarters and one
+    left = doubtful.withColumn("gs", gram("w")).select("w", "n", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+    left = left.join(right.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g")
+    least = F.greatest(F.lit(1), F.floor(F.col("size") * 0.25))
+    rank_ = F.row_number().over(Window.partitionBy("w").orderBy("df", "g"))  # the q-grams of one word
+    known_grams = F.count(F.lit(1)).over(Window.partitionBy("w"))
+    left = left.withColumns({"r": rank_, "k": known_grams}).where(F.col("r") <= F.col("k") - least + 1)
+    met = left.join(right, "g").where(F.abs(F.length("w") - F.length("o")) <= 3).where("w != o").select("w", "n", "o", "m")
+    # the skeleton finds what a short word's few q-grams can't
+    own = doubtful.withColumn("k", sk("w")).join(trusted.where("n >= 2").withColumn("k", sk("w")).select("k", F.col("w").alias("o"), F.col("n").alias("m")), "k")
+    met = met.unionByName(own.where((F.col("m") > F.col("n")) & (F.col("w") != F.col("o"))).select("w", "n", "o", "m")).distinct()
 
     def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            grams = {w: _grams(w) for w in {*f["w"], *f["o"]}}
+            same = np.array([skeleton(w) == skeleton(o) for w, o in zip(f["w"], f["o"])], bool)
+            near = np.array([len(grams[w] & grams[o]) >= max(1, int(0.25 * len(grams[w]))) for w, o in zip(f["w"], f["o"])], bool)
+            f, same = f[near | same], same[near | same]
             if len(f):
                 x = np.array([pair_features(*r) for r in zip(f["w"], f["n"], f["o"], f["m"])], float)
-                yield f[["w", "o", "m"]].assign(score=ranking.value.predict(x) * (x[:, 0] <= 0.65))
+                yield f[["w", "o", "m"]].assign(score=ranking.value.predict(x) * ((x[:, 0] <= 0.65) | same))
 
     scored = met.mapInPandas(rank, "w string, o string, m bigint, score double").where("score >= 0.5")
-    # the skeleton finds what a short word's few q-grams can't
-    own = doubtful.withColumn("k", sk("w")).join(trusted.where("n >= 2").withColumn("k", sk("w")).select("k", F.col("w").alias("o"), F.col("n").alias("m")), "k")
-    own = own.where((F.col("m") > F.col("n")) & (F.col("w") != F.col("o"))).select("w", "o", "m", F.lit(0.5).alias("score"))
-    fixes = scored.unionByName(own).groupBy("w").agg(F.max_by("o", F.struct("score", "m", "o")).alias("fix"))
+    fixes = scored.groupBy("w").agg(F.max_by("o", F.struct("score", "m", "o")).alias("fix"))
     fixes = materialize(fixes, "fixes")
     again = fixes.select(F.col("w").alias("fix"), F.col("fix").alias("further"))  # a rare replacement may be misread itself
     fixes = materialize(fixes.join(again, "fix", "left").select("w", F.coalesce("further", "fix").alias("fix")).where("w != fix"), "fixes")
 
-    words = read_.where("kind = 'word'").select("ord", "line_no", F.col("a").alias("w")).join(fixes, "w")
+    words = read_.where("kind = 'word'").select("ord", "line_no", F.col("a").alias("w"))
+    # types that are frequent and trusted in the sample but not over all rows: where they stand is read again
+    astray = spark.createDataFrame([(w,) for w in sorted(known.value[1])] or [("",)], "w string").join(fixes, "w", "left_semi")
+    if late := {r[0] for r in astray.collect()}:  # some of the sample's types
+
+        def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = [(t if isinstance(t, str) else None, c) for t, c in zip(f["title"], f["content"])]
+                out = [(o, k, w) for o, p in zip(f["ord"], parse(rows, known.value[0])) for k, line in enumerate(p.lines) if p.kinds[k] is None for w in tokens(line) if w in late]
+                yield pd.DataFrame(out, columns=["ord", "line_no", "w"])
+
+        words = words.unionByName(src.mapInPandas(again, f"ord {kind}, line_no bigint, w string"))
+    words = words.join(fixes, "w")
     wrong = words.select("ord", "line_no").distinct().withColumn("kind", F.lit("misread"))
     # a broken word is misread where its part differs from the part of the best known form
     marks = "[" + re.escape(INTRUDERS).replace("|", "\\|") + "]"

@@ -270,6 +270,17 @@ def test_rare_misreads_of_rows_without_furniture_are_found(spark):
     assert {("rcport", "report"), ("asscmbly", "assembly"), ("dcbate", "debate")} <= {(r["w"], r["fix"]) for r in scan.fixes.collect()}
 
 
+def test_long_lines_words_and_joints_are_read_whole():
+    long_ = "w" * 60 + "commodity"
+    lines = ["x " * 400 + "auth-", "ority of the " + long_, "A" * 500 + "-", "end"]
+    p = P.parse([("t", "\n".join(lines))], P.fit_lines([("t", "a\nb")]))[0]
+    assert [(j[0], j[3], j[4]) for j in p.joints] == [(0, 1, "ority"), (2, 3, "end")] and p.joints[0][1] == "auth" and p.joints[1][1] == "a" * 500
+    assert P.distance("w" * 2_000 + "cornmodity", "w" * 2_000 + "commodity")[0] == 0.2
+    known = [([3.0, 0.0, 1.0, 0.0, 0.0, 5, 4, 1.0, 0.0], True), ([0.0, 3.0, 4.0, 4.0, 0.0, 5, 4, 0.0, 0.0], False)] * 200
+    joints = P.fit_joints(known)
+    assert (joints.predict(np.array([known[0][0], known[1][0]])) >= 0.5).tolist() == [True, False]
+
+
 def test_subjects_held_out(spark):
     r = random.Random(2)
     vocab = {"sea": "anchor harbour vessel reef tide sailor mast cargo".split(), "farm": "barley plough harvest cattle orchard fodder silo meadow".split(), "law": "tribunal verdict statute bench appeal notary decree clause".split()}
