@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.scan_repair import BREAKS, line_features, skeleton, weak_labels
+from citeloom.llm.shingles import mix64
 from citeloom.runtime import table
 
 BITS = 16  # hashed features: 2 ** BITS
 SAMPLE_ROWS = 2_500  # documents of the bounded sample that the classifiers are fitted on
-LEAST_FEATURES = 4  # a line of fewer words and pairs of words is a heading or a number and bears no subject
+LEAST_FEATURES = 4  # a paragraph of fewer words and pairs of words is a heading or a number and bears no subject
 SHARE = 0.25  # part of the subject-bearing paragraphs from which on a document is about an area
 _WORD = re.compile(r"[^\W\d_][\w'’!†@|\-]*[\w†@!|]|[^\W\d_]", re.UNICODE)
 _BREAK = re.compile(rf"[{BREAKS}]\s*$")
@@ -64,17 +65,29 @@ def _stem(word: str) -> str:
     return k[:-1] if len(k) > 4 and k[-1] == "5" and k[-2] != "5" else k
 
 
+_KNOWN: dict[str, tuple[int, bool]] = {}  # words seen by this process: hash of the stem, and whether it is long enough to count
+
+
 def features(par: str) -> np.ndarray:
     """Hashes of words and pairs of words, in skeleton form, so that misread words count as what they were. Names and numbers are
     left out; words written with a capital inside the paragraph count as names."""
-    words = []
+    if len(_KNOWN) > 1_000_000:
+        _KNOWN.clear()
+    hashes, long_ = [], []
     for k, w in enumerate(_WORD.findall(_BULLET.sub("", par))):
         if k and w[:1].isupper():
-            words.append("")
-        else:
-            words.append(_stem(w))
-    grams = {w for w in words if len(w) > 2} | {f"{a} {b}" for a, b in zip(words, words[1:]) if a and b}
-    return np.array(sorted({xxhash.xxh3_64_intdigest(g) & ((1 << BITS) - 1) for g in grams}), np.int32)
+            hashes.append(0)
+            long_.append(False)
+            continue
+        if (got := _KNOWN.get(w)) is None:
+            stem = _stem(w)
+            got = _KNOWN[w] = (xxhash.xxh3_64_intdigest(stem) | 1 if stem else 0, len(stem) > 2)
+        hashes.append(got[0])
+        long_.append(got[1])
+    h = np.array(hashes, np.uint64)
+    with np.errstate(over="ignore"):
+        pairs = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[(h[:-1] != 0) & (h[1:] != 0)]
+    return np.unique(np.concatenate([mix64(h[np.array(long_, bool)]), pairs]) & np.uint64((1 << BITS) - 1)).astype(np.int32)
 
 
 @dataclass
@@ -98,54 +111,93 @@ class Areas:
         return 1 / (1 + np.exp(-z))
 
     def areas(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Number of the area of each row, -1 where none reaches its threshold."""
+        """Whether each row of features is about each area: every area that reaches its threshold, so a row may have several."""
         if not rows:
-            return np.zeros(0, int)
-        p = self.scores(rows)
-        top = (p - self.threshold[None, :]).argmax(1)
+            return np.zeros((0, len(self.names)), bool)
         bears = np.array([len(r) >= LEAST_FEATURES for r in rows])
-        return np.where(bears & (p[np.arange(len(p)), top] >= self.threshold[top]), top, -1)
-
-
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, names: list[str], steps: int = 120, rate: float = 0.7, ridge: float = 1e-4) -> Areas:
-    """One-versus-rest logistic regression by full-batch gradient steps with per-feature rates (AdaGrad)."""
-    keep = [k for k, r in enumerate(rows) if len(r)]
-    rows, y, weight = [rows[k] for k in keep], y[keep].astype(np.float32), weight[keep].astype(np.float32)
-    size = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    used, col = np.unique(flat, return_inverse=True)
-    begin = np.cumsum(size) - size
-    row_of = np.repeat(np.arange(len(rows)), size)
-    scale = (1 / np.sqrt(size)).astype(np.float32)
-    order = np.argsort(col, kind="stable")
-    col_begin = np.searchsorted(col[order], np.arange(len(used)))
-    rows_by_col = row_of[order]
-    n = len(names)
-    w, b = np.zeros((len(used), n), np.float32), np.full(n, -2.0, np.float32)
-    hw, hb = np.full_like(w, 1e-6), np.full(n, 1e-6, np.float32)
-    for _ in range(steps):
-        z = np.empty((len(rows), n), np.float32)
-        for c in range(n):  # an area at a time: the largest array has one number for each feature of the sample
-            z[:, c] = np.add.reduceat(w[col, c], begin) * scale + b[c]
-        r = (1 / (1 + np.exp(-z)) - y) * weight[:, None] / weight.sum()
-        for c in range(n):
-            g = np.add.reduceat((r[:, c] * scale)[rows_by_col], col_begin) + ridge * w[:, c] / len(rows)
-            hw[:, c] += g * g
-            w[:, c] -= rate * g / np.sqrt(hw[:, c])
-        gb = r.sum(0)
-        hb += gb * gb
-        b -= rate * gb / np.sqrt(hb)
-    out = np.zeros((1 << BITS, n), np.float32)
-    out[used] = w
-    return Areas(names, out, b, np.full(n, 0.5, np.float32))
+        return bears[:, None] & (self.scores(rows) >= self.threshold[None, :])
+
+
+class Fitter:
+    """One-versus-rest logistic regression on a bounded set of rows, each area's classifier fitted in a task of its own by
+    full-batch gradient steps with per-feature rates (AdaGrad)."""
+
+    def __init__(self, spark: SparkSession, rows: list[np.ndarray], names: list[str]) -> None:
+        self.spark, self.names = spark, names
+        self.keep = [k for k, r in enumerate(rows) if len(r)]
+        rows = [rows[k] for k in self.keep]
+        size = np.array([len(r) for r in rows])
+        flat = np.concatenate(rows)
+        self.used, col = np.unique(flat, return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        row_of = np.repeat(np.arange(len(rows)), size)
+        begin, by_col = np.cumsum(size) - size, np.searchsorted(col[order], np.arange(len(self.used)))
+        self.data = spark.sparkContext.broadcast((col.astype(np.int32), begin, (1 / np.sqrt(size)).astype(np.float32), row_of[order].astype(np.int32), by_col))
+
+    def fit(self, y: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.7, ridge: float = 1e-4) -> Areas:
+        labels = self.spark.sparkContext.broadcast((y[self.keep].astype(np.float32), weight[self.keep].astype(np.float32)))
+        data, n_used = self.data, len(self.used)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            col, begin, scale, rows_by_col, col_begin = data.value
+            ys, ws = labels.value
+            share = ws / ws.sum()
+            for f in frames:
+                for c in f["id"]:
+                    w, b = np.zeros(n_used, np.float32), np.float32(-2.0)
+                    hw, hb = np.full(n_used, 1e-6, np.float32), np.float32(1e-6)
+                    for _ in range(steps):
+                        z = np.add.reduceat(w[col], begin) * scale + b
+                        r = (1 / (1 + np.exp(-z)) - ys[:, c]) * share
+                        g = np.add.reduceat((r * scale)[rows_by_col], col_begin) + ridge * w / len(begin)
+                        hw += g * g
+                        w -= rate * g / np.sqrt(hw)
+                        gb = r.sum()
+                        hb += gb * gb
+                        b -= rate * gb / np.sqrt(hb)
+                    yield pd.DataFrame({"area": [c], "w": [w.tobytes()], "b": [float(b)]})
+
+        got = self.spark.range(0, len(self.names), 1, len(self.names)).mapInPandas(run, "area int, w binary, b double").collect()
+        weight_, bias = np.zeros((1 << BITS, len(self.names)), np.float32), np.zeros(len(self.names), np.float32)
+        for r in got:
+            weight_[self.used, r["area"]], bias[r["area"]] = np.frombuffer(r["w"], np.float32), r["b"]
+        return Areas(self.names, weight_, bias, np.full(len(self.names), 0.5, np.float32))
 
 
 def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+", text) if s]
 
 
-def fit_areas(samples: list[tuple[str, str]], docs: list[tuple[str | None, str]], rounds: int = 3) -> Areas:
-    """The classifiers, from passages of known area and a bounded sample of unlabelled (title, content).
+def calibrate(model: Areas, held: list[tuple[int, np.ndarray]], blank: list[np.ndarray], seed: int = 3) -> np.ndarray:
+    """The threshold of each area with the best F1 over held-out passages: sentences of one area, each area's sentences put
+    together with those of others, which have two areas, and paragraphs without an area."""
+    rng = np.random.default_rng(seed)
+    n = len(model.names)
+    rows, truth = [r for _, r in held] + blank, np.zeros((len(held) + len(blank), n), bool)
+    truth[np.arange(len(held)), [a for a, _ in held]] = True
+    mixed = []
+    for i, j in zip(rng.permutation(len(held)), rng.permutation(len(held))):
+        if held[i][0] != held[j][0]:
+            rows.append(np.union1d(held[i][1], held[j][1]))
+            mixed.append((held[i][0], held[j][0]))
+    t = np.zeros((len(mixed), n), bool)
+    for k, (x, z) in enumerate(mixed):
+        t[k, [x, z]] = True
+    truth = np.concatenate([truth, t])
+    p, out = model.scores(rows), np.full(n, 0.5, np.float32)
+    for a in range(n):
+        best = (-1.0, 0.5)
+        for cut in np.arange(0.2, 0.61, 0.05):
+            hit = p[:, a] >= cut
+            f1 = 2 * float((hit & truth[:, a]).sum()) / max(1.0, hit.sum() + truth[:, a].sum())
+            if f1 > best[0] + 1e-9 or (f1 > best[0] - 1e-9 and abs(cut - 0.4) < abs(best[1] - 0.4)):
+                best = (f1, float(cut))
+        out[a] = best[1]
+    return out
+
+
+def fit_areas(spark: SparkSession, samples: list[tuple[str, str]], texts: list[tuple[np.ndarray, list[np.ndarray]]], rounds: int = 3) -> Areas:
+    """The classifiers, from passages of known area and the features of a bounded sample of unlabelled (title, paragraphs).
 
     The passages hold part of each area's words only. So the classifiers label the paragraphs and section titles of the sample,
     weakly: a paragraph takes the area that its own words point to; one that they leave open takes, with less weight, the area of
@@ -156,15 +208,16 @@ def fit_areas(samples: list[tuple[str, str]], docs: list[tuple[str | None, str]]
     at = {a: k for k, a in enumerate(names)}
     known = [(i, at[a], features(s)) for i, (a, t) in enumerate(samples) for s in _sentences(t)]
     train = [k for k in known if k[0] % 4]
-    held = [k for k in known if not k[0] % 4]
+    held = [(a, r) for i, a, r in known if not i % 4 and len(r)]
     eye = np.eye(len(names), dtype=np.float32)
     base_rows = [r for _, _, r in train]
     base_y = eye[[a for _, a, _ in train]]
-    model = fit_linear(base_rows, base_y, np.ones(len(base_rows)), names)
-    texts = [(features(t or ""), [features(p) for p in paragraphs(c, t)]) for t, c in docs]
+    model = Fitter(spark, base_rows, names).fit(base_y, np.ones(len(base_rows)))
     flat = [r for t, ps in texts for r in [t, *ps]]
     doc_of = np.array([d for d, (_, ps) in enumerate(texts) for _ in range(len(ps) + 1)])
     is_title = np.array([k == 0 for _, ps in texts for k in range(len(ps) + 1)])
+    fitter = Fitter(spark, base_rows + flat, names) if flat else None
+    blank: list[np.ndarray] = []
     for turn in range(rounds if flat else 0):
         p = model.scores(flat)
         order = np.sort(p, axis=1)
@@ -183,40 +236,39 @@ def fit_areas(samples: list[tuple[str, str]], docs: list[tuple[str | None, str]]
         if turn == rounds - 1:  # at last, what no words point to has no area
             none = ~sure & (order[:, -1] < 0.2)
             y[none], w[none] = 0, 0.5
-        model = fit_linear(base_rows + flat, np.concatenate([base_y, y]), np.concatenate([np.full(len(base_rows), 2.0), w]), names)
-    # thresholds: the best F1 of each area on held-out sentences against those of the other areas and paragraphs without any
-    rows = [r for _, _, r in held]
-    truth = np.array([a for _, a, _ in held])
-    if len(rows):
-        p = model.scores(rows)
-        for a in range(len(names)):
-            best = (-1.0, 0.5)
-            for t in np.arange(0.2, 0.61, 0.05):
-                hit = p[:, a] >= t
-                tp = float((hit & (truth == a)).sum())
-                f1 = 2 * tp / max(1.0, hit.sum() + (truth == a).sum())
-                if f1 > best[0] + 1e-9 or (f1 > best[0] - 1e-9 and abs(t - 0.4) < abs(best[1] - 0.4)):
-                    best = (f1, float(t))
-            model.threshold[a] = best[1]
+            blank = [flat[k] for k in np.flatnonzero(none)[: len(held)]]
+        model = fitter.fit(np.concatenate([base_y, y]), np.concatenate([np.full(len(base_rows), 2.0), w]))
+    if held:
+        model.threshold = calibrate(model, held, blank)
     return model
 
 
 def assign_areas(docs: DataFrame, samples: DataFrame, share: float = SHARE) -> DataFrame:
-    """(ord, area, n_paragraphs, n_subject): areas that at least `share` of the subject-bearing paragraphs of content deal with.
+    """(ord, area, n_paragraphs, n_subject): areas that at least `share` of the subject-bearing paragraphs of content deal with. A
+    paragraph deals with every area that reaches its threshold and bears a subject if there is one; paragraphs of fewer than
+    LEAST_FEATURES words and pairs (headings, numbers) and words with a capital inside (names) tell no subject.
 
     docs: ord, title, content; samples: area, text, a bounded table of labelled passages. Extra columns aren't read. The
-    classifiers are fitted on the passages and SAMPLE_ROWS documents, then applied to all paragraphs of all documents. Null and
+    classifiers are fitted, an area in a task, on SAMPLE_ROWS passages and documents at most, then applied to all paragraphs of all
+    documents. Null and
     empty contents and texts without a subject-bearing paragraph have no row; equal documents have equal rows.
     """
     spark = docs.sparkSession
     kind = docs.schema["ord"].dataType.simpleString()
     src = docs.where("ord IS NOT NULL AND content IS NOT NULL AND content != ''").select("ord", "title", "content")
-    labelled = [(r[0], r[1]) for r in samples.where("area IS NOT NULL AND text IS NOT NULL").select("area", "text").orderBy("area", "text").collect()]
+    labelled = [(r[0], r[1]) for r in samples.where("area IS NOT NULL AND text IS NOT NULL").select("area", "text").orderBy(F.xxhash64("text"), "area", "text").limit(SAMPLE_ROWS).orderBy("area", "text").collect()]
     schema = f"ord {kind}, area string, n_paragraphs int, n_subject int"
     if not labelled:
         return spark.createDataFrame([], schema)
-    some = [(r[0], r[1]) for r in src.orderBy(F.xxhash64("ord")).limit(SAMPLE_ROWS).select("title", "content").collect()]
-    model = spark.sparkContext.broadcast(fit_areas(labelled, some))
+
+    def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [(features(t or ""), [features(p) for p in paragraphs(c, t)]) for t, c in zip((t if isinstance(t, str) else None for t in f["title"]), f["content"])]
+            yield pd.DataFrame({"title": [t for t, _ in got], "paragraphs": [ps for _, ps in got]})
+
+    some = src.orderBy(F.xxhash64("ord")).limit(SAMPLE_ROWS).repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(seen, "title array<int>, paragraphs array<array<int>>").toPandas()
+    own = [(np.asarray(t, np.int32), [np.asarray(p, np.int32) for p in ps]) for t, ps in zip(some["title"], some["paragraphs"])]
+    model = spark.sparkContext.broadcast(fit_areas(spark, labelled, own))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
@@ -228,11 +280,12 @@ def assign_areas(docs: DataFrame, samples: DataFrame, share: float = SHARE) -> D
                 rows += ps
                 owner += [k] * len(ps)
             got = m.areas(rows)
-            counts = np.zeros((len(f), len(m.names)), int)
+            counts, subject = np.zeros((len(f), len(m.names)), int), np.zeros(len(f), int)
             own = np.array(owner, int)
-            np.add.at(counts, (own[got >= 0], got[got >= 0]), 1)
+            np.add.at(counts, own, got.astype(int))
+            np.add.at(subject, own, got.any(1).astype(int))
             for k, o in enumerate(f["ord"]):
-                n = int(counts[k].sum())
+                n = int(subject[k])
                 out += [(o, m.names[a], int(counts[k, a]), n) for a in np.flatnonzero(counts[k]) if counts[k, a] >= share * n]
             yield pd.DataFrame(out, columns=["ord", "area", "n_paragraphs", "n_subject"])
 
