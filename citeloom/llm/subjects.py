@@ -19,6 +19,7 @@ from citeloom.runtime import table
 BITS = 16  # hashed features: 2 ** BITS
 SAMPLE_ROWS = 2_500  # documents of the bounded sample that the classifiers are fitted on
 LEAST_FEATURES = 4  # a paragraph of fewer words and pairs of words is a heading or a number and bears no subject
+LEAST_THRESHOLD = 0.4  # procedural paragraphs, which stand with all areas, score an area's share of the documents; no area reaches this
 SHARE = 0.25  # part of the subject-bearing paragraphs from which on a document is about an area
 _WORD = re.compile(r"[^\W\d_][\w'’!†@|\-]*[\w†@!|]|[^\W\d_]", re.UNICODE)
 _BREAK = re.compile(rf"[{BREAKS}]\s*$")
@@ -187,7 +188,7 @@ def calibrate(model: Areas, held: list[tuple[int, np.ndarray]], blank: list[np.n
     p, out = model.scores(rows), np.full(n, 0.5, np.float32)
     for a in range(n):
         best = (-1.0, 0.5)
-        for cut in np.arange(0.2, 0.61, 0.05):
+        for cut in np.arange(LEAST_THRESHOLD, 0.81, 0.05):
             hit = p[:, a] >= cut
             f1 = 2 * float((hit & truth[:, a]).sum()) / max(1.0, hit.sum() + truth[:, a].sum())
             if f1 > best[0] + 1e-9 or (f1 > best[0] - 1e-9 and abs(cut - 0.4) < abs(best[1] - 0.4)):
