@@ -39,6 +39,18 @@ def test_factor_one_is_exact_and_larger_ones_lose_little():
         assert len(got & want) >= recall * len(want)
 
 
+def test_recall_of_the_default_factor():
+    m = clustered(3000, dim=64, seed=4)
+    ids = np.arange(3000)
+    u = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    for least, recall in ((0.8, 0.97), (-1.0, 0.9)):
+        a, b, _ = V.search(u, ids, u, ids, 5, least, V.FACTOR)
+        got = set(zip(a.tolist(), b.tolist()))
+        s = u.astype(float) @ u.T.astype(float) - 9 * np.eye(3000)
+        want = {(i, int(j)) for i in ids for j in np.argsort(-s[i])[:5] if s[i, j] >= least}
+        assert len(got & want) >= recall * len(want), (least, len(got & want) / len(want))
+
+
 def test_pairs_over_shards_with_equal_and_bad_vectors(spark):
     m = clustered(400)
     m[::3] = m[0]  # a third of all rows is one vector
