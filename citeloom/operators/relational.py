@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.prefix import with_position
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column], keep: str = "first") -> DataFrame:
     """One row for each combination of keys (nulls equal each other): the first or last by `order`, which must be total. By
@@ -89,3 +91,11 @@ def last_of_first(df: DataFrame, order: list[Column], head: int, tail: int) -> D
     ranked = top(df, order, head).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
     return ranked.where(F.col("rank") > n - tail)
+
+
+def zip_rows(a: DataFrame, b: DataFrame, order_a: list[Column], order_b: list[Column]) -> DataFrame:
+    """Rows of two tables side by side by their places in their orders, as far as the shorter one goes; columns' names must differ."""
+    if clash := set(a.columns) & set(b.columns):
+        raise ValueError(f"in both tables: {sorted(clash)}")
+    x, y = with_position(a, order_a, "__a"), with_position(b, order_b, "__b")
+    return x.join(y, x["__a"] == y["__b"]).drop("__a", "__b")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citeloom.functions.text import strip
+from citeloom.operators.prefix import with_position
 from citeloom.sources.readers import read_or_empty
 from citeloom.sources.sinks import append
 
@@ -78,15 +79,14 @@ def top_k(index: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int
                     continue
                 x, xid = np.stack(list(f["v"])).astype(np.float64), f["id"].to_numpy()
                 s = np.round(m @ x.T, 9)
-                part = []
-                for j in range(len(ids)):
-                    row = s[j].copy()
-                    if skip_self:
-                        row[xid == ids[j]] = -np.inf
-                    top = np.lexsort((xid, -row))[:k]
-                    top = top[np.isfinite(row[top])]
-                    part.append(pd.DataFrame({"query_id": ids[j], "neighbour_id": xid[top], "score": row[top]}))
-                got = pd.concat(part)
+                if skip_self:
+                    s[ids[:, None] == xid[None, :]] = -np.inf
+                if s.shape[1] > k:  # all that reach the k-th best score of a query, ties included
+                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                    row, col = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
+                else:
+                    row, col = np.nonzero(np.isfinite(s))
+                got = pd.DataFrame({"query_id": ids[row], "neighbour_id": xid[col], "score": s[row, col]})
                 best = got if best is None else pd.concat([best, got])
                 best = best.sort_values(["query_id", "score", "neighbour_id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:
@@ -144,20 +144,40 @@ def embed(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], np.
     return df.withColumn(out, vec(F.col(text)))
 
 
+def letters_embedder() -> Callable[[list[str]], np.ndarray]:
+    """Another stand-in for a model, which SQL can check: how often each of the letters a to z stands in a text."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        low = [t.lower() for t in texts]
+        return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in low], np.float32).reshape(len(texts), 26)
+
+    return encode
+
+
+def sentence_index(docs: DataFrame, id_col: str, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """(id, sent_no, sentence, vec): the sentences of each document, numbered from 0, with vectors of length one; to be kept as a
+    table, in which a document's sentences are searched by a filter on its id. Null texts have none."""
+    s = docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.posexplode(sentences(F.col(text))).alias("sent_no", "sentence"))
+    return embed(s, "sentence", make).withColumn("vec", l2_normalize(F.col("vec")))
+
+
 def document_vectors(docs: DataFrame, id_col: str, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """(id, vec): mean of the sentences' vectors, each of length one, weighted by the sentence's length. Null texts have none."""
-    s = docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.explode(sentences(F.col(text))).alias("sentence"))
-    v = embed(s, "sentence", make).withColumn("vec", l2_normalize(F.col("vec")))
-    return weighted_mean(v, id_col, "vec", F.length("sentence"))
+    return weighted_mean(sentence_index(docs, id_col, text, make), id_col, "vec", F.length("sentence"))
 
 
-def extend_index(docs: DataFrame, path: str, schema: StructType, id_col: str, build: Callable[[DataFrame], DataFrame], order: str, batch: int = 10_000) -> int:
+def extend_index(docs: DataFrame, path: str, schema: StructType, id_col: str, build: Callable[[DataFrame], DataFrame], order: str, batch: int = 10_000, pos: str | None = None) -> int:
     """Add the next `batch` documents by `order` that the index at path lacks; returns how many were added. Running it again
-    goes on; when nothing is left it returns 0."""
+    goes on; when nothing is left it returns 0. pos: a column that gets each row's number in the index, from 0."""
     spark = docs.sparkSession
-    done = read_or_empty(spark, path, schema).select(F.col(id_col).alias("__done")).distinct()
+    old = read_or_empty(spark, path, schema)
+    done = old.select(F.col(id_col).alias("__done")).distinct()
     todo = docs.join(done, docs[id_col] == F.col("__done"), "left_anti").dropDuplicates([id_col]).orderBy(order).limit(batch)
-    new = build(todo).select(*schema.fieldNames()).cache()
+    new = build(todo)
+    if pos:
+        before = old.count()
+        new = with_position(new, [F.col(id_col)], pos).withColumn(pos, F.col(pos) + before)
+    new = new.select(*schema.fieldNames()).cache()
     n = new.count()
     if n:
         append(new, path)

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from citeloom.sources.readers import exists
 
 
+#: A header, quotes doubled, white space at either end of a value kept.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:
     """CSV with a header, quotes doubled, columns in the given order."""
     df = df.select(*columns) if columns else df
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def staged_overwrite(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
@@ -23,7 +27,7 @@ def staged_overwrite(df: DataFrame, path: str, fmt: str = "parquet", **options:
     tag = uuid.uuid4().hex
     new, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
     w = df.write.format(fmt).options(**options)
-    (w.option("header", True).option("quote", '"').option("escape", '"') if fmt == "csv" else w).save(new)
+    (w.options(**CSV) if fmt == "csv" else w).save(new)
     jvm = spark.sparkContext._jvm
     p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
     fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -41,7 +45,7 @@ def staged_overwrite(df: DataFrame, path: str, fmt: str = "parquet", **options:
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Add the rows of one batch to a growing table."""
     w = df.write.mode("append").format(fmt)
-    (w.option("header", True).option("quote", '"').option("escape", '"') if fmt == "csv" else w).save(path)
+    (w.options(**CSV) if fmt == "csv" else w).save(path)
 
 
 def json_line(record: Column) -> Column:
