@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import plain_identifier, strip
 from citeloom.llm.near_duplicates import shared_sql
-from citeloom.llm.shingles import WORD, expand, gram_hashes, jaccard_at_least, join_classes
+from citeloom.llm.shingles import WordHashes, expand, gram_hashes, jaccard_at_least, join_classes
 from citeloom.runtime import materialize, table
 
 LEAST_BITS, MOST_BITS = 16, 22  # counters of the rarity table: 16 for each text, between these powers of two (256 kB to 16 MB)
@@ -35,14 +35,13 @@ def bitmap(grams: np.ndarray) -> list[int]:
 def _named(frames: Iterator[pd.DataFrame], n: int, bits: int) -> Iterator[pd.DataFrame]:
     """(id, class, size, bitmap) of each text with sequences, class a hash of its set; at the end (null, counter, count, null ...)
     of this task."""
-    known: dict[str, int] = {}
+    known = WordHashes()
     acc = np.zeros(1 << bits, np.int64)
     for f in frames:
         if len(known) > 1_000_000:
             known.clear()
         rows, all_ = [], []
-        for i, t in zip(f["id"], f["text"]):
-            g = gram_hashes(WORD.findall(t.lower()), n, known)
+        for i, g in zip(f["id"], gram_hashes(f["text"], n, known)):
             if len(g):
                 rows.append((i, xxhash.xxh3_64_intdigest(g.tobytes()) - 2**63, len(g), *bitmap(g)))
                 all_.append(g)
@@ -60,14 +59,13 @@ def prefixes(texts: DataFrame, counts, least: float, n: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rare_of, bits = counts.value
-        known: dict[str, int] = {}
+        known = WordHashes()
         seen: set[int] = set()
         for f in frames:
             if len(known) > 1_000_000:
                 known.clear()
             names, grams, sizes = [], [], []
-            for t in f["text"]:
-                g = gram_hashes(WORD.findall(t.lower()), n, known)
+            for g in gram_hashes(f["text"], n, known):
                 if not len(g) or (c := xxhash.xxh3_64_intdigest(g.tobytes()) - 2**63) in seen:
                     continue
                 seen.add(c)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,27 +27,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def gram_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word sequences."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([known[w] for w in words], np.uint64)
-    with np.errstate(over="ignore"):
-        g = np.zeros(len(h) - n + 1, np.uint64)
-        for k in range(n):
-            g = mix64(g + h[k : len(h) - n + 1 + k] * _MUL[k % 5])
-    return np.unique(g)
+class WordHashes(dict):
+    """64-bit hashes of words, each made once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
-def _shingled(f: pd.DataFrame, n: int, known: dict[str, int]) -> Iterator[tuple]:
+def gram_hashes(texts: Iterable[str], n: int, known: WordHashes) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its n-word sequences; all texts are hashed in one go."""
+    words = [WORD.findall(t.lower()) for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(size.sum()))
+    if len(h) < n:
+        return [np.empty(0, np.uint64)] * len(words)
+    g = np.zeros(len(h) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            g += h[k : len(h) - n + 1 + k] * _MUL[k % 5]
+            g ^= g >> np.uint64(33)
+            g *= _MUL[(k + 1) % 5]
+            g ^= g >> np.uint64(29)
+    begin = np.cumsum(size) - size
+    out = []
+    for lo, m in zip(begin.tolist(), size.tolist()):
+        own = np.sort(g[lo : lo + m - n + 1]) if m >= n else np.empty(0, np.uint64)
+        out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+    return out
+
+
+def _shingled(f: pd.DataFrame, n: int, known: WordHashes) -> Iterator[tuple]:
     """(id, grams) of the texts that have sequences."""
-    for i, t in zip(f["id"], f["text"]):
-        g = gram_hashes(WORD.findall(t.lower()), n, known)
-        if len(g):
-            yield i, g
+    return ((i, g) for i, g in zip(f["id"], gram_hashes(f["text"], n, known)) if len(g))
 
 
 def texts_of(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -61,7 +74,7 @@ def shingle_sets(texts: DataFrame, n: int = 3) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = WordHashes()
         for f in frames:
             if len(known) > 1_000_000:
                 known.clear()
@@ -75,7 +88,7 @@ def set_names(texts: DataFrame, n: int = 3, extra=None, fields: str = "") -> Dat
     themselves aren't kept. extra(grams) gives the values of further `fields`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = WordHashes()
         names = ["id", "h1", "h2", "size", *[x.split()[0] for x in fields.split(", ") if x]]
         for f in frames:
             if len(known) > 1_000_000:
