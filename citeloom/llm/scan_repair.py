@@ -167,18 +167,32 @@ def furniture(rows: list[tuple[str | None, list[str]]], model: Boosted) -> list[
     return out
 
 
-_TOKEN = re.compile(r"[^\s]+")
+_LETTERED = re.compile(r"^[A-Z]{1,3}\.\d")
 _STRIP = ".,;:()“”\"'‘’[]?"
 _ORDINAL = re.compile(r"^(?:\d+(?:st|nd|rd|th|d)?|[ivxlcdm]+|\d+[a-z]?|\d[\d.,/\-]*)$", re.I)
 
 
+_READ: dict[str, str] = {}  # tokens seen by this process and the words that they are
+
+
+def _word(token: str) -> str:
+    """The word of a token, lower case, outer punctuation off; '' for codes, numbers and lettered numbers."""
+    t = token.strip(_STRIP).replace("\xad", "")
+    if t and "/" not in t and any(map(str.isalpha, t)) and not _ORDINAL.match(t) and not _LETTERED.match(t):
+        return t.lower()
+    return ""
+
+
 def tokens(line: str) -> list[str]:
     """Words of a line, lower case, outer punctuation off; codes, numbers and lettered numbers left out."""
+    if len(_READ) > 1_000_000:
+        _READ.clear()
     out = []
-    for t in _TOKEN.findall(line):
-        t = t.strip(_STRIP).replace("\xad", "")
-        if t and "/" not in t and any(c.isalpha() for c in t) and not _ORDINAL.match(t) and not re.match(r"^[A-Z]{1,3}\.\d", t):
-            out.append(t.lower())
+    for t in line.split():
+        if (w := _READ.get(t)) is None:
+            w = _READ[t] = _word(t)
+        if w:
+            out.append(w)
     return out
 
 
