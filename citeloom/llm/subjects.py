@@ -26,12 +26,21 @@ _BREAK = re.compile(rf"[{BREAKS}]\s*$")
 _BULLET = re.compile(r"^\W*(?:\d{1,3}|[a-z]|[ivxlc]{1,6})[.)]\s+", re.I)
 
 
+_NOISE, _SIGN = re.compile(r"\W+"), re.compile(r"\w")
+
+
+def _is(x: str, name: str) -> bool:
+    """Whether a line says what the skeleton `name` stands for, punctuation and misread letters aside."""
+    m = _SIGN.search(x)
+    return m is not None and skeleton(m.group())[:1] == name[:1] and skeleton(_NOISE.sub(" ", x)).strip() == name
+
+
 def paragraphs(content: str, title: str | None) -> list[str]:
     """The paragraphs of a text, wrapped lines joined, headers, page numbers and the title left out."""
     name = skeleton(re.sub(r"\W+", " ", title or "")).strip()
     lines = content.split("\n")
     if len(lines) > 1:
-        lines = [x for x in lines if not name or skeleton(re.sub(r"\W+", " ", x)).strip() != name]
+        lines = [x for x in lines if not name or not _is(x, name)]
         drop = weak_labels(lines, title, line_features(lines, title)) == 1
         lines = [x for x, d in zip(lines, drop) if not d]
     out: list[str] = []
@@ -55,7 +64,7 @@ def paragraphs(content: str, title: str | None) -> list[str]:
         last = s
     if cur:
         out.append(cur)
-    return [p for p in out if skeleton(re.sub(r"\W+", " ", p)).strip() != name]
+    return [p for p in out if not _is(p, name)] if name else [p for p in out if _SIGN.search(p)]
 
 
 def _stem(word: str) -> str:
@@ -69,26 +78,32 @@ def _stem(word: str) -> str:
 _KNOWN: dict[str, tuple[int, bool]] = {}  # words seen by this process: hash of the stem, and whether it is long enough to count
 
 
-def features(par: str) -> np.ndarray:
-    """Hashes of words and pairs of words, in skeleton form, so that misread words count as what they were. Names and numbers are
-    left out; words written with a capital inside the paragraph count as names."""
+def features(pars: list[str]) -> list[np.ndarray]:
+    """Of each paragraph the hashes of words and pairs of words, in skeleton form, so that misread words count as what they were.
+    Names and numbers are left out; words written with a capital inside the paragraph count as names. All are hashed in one go."""
     if len(_KNOWN) > 1_000_000:
         _KNOWN.clear()
-    hashes, long_ = [], []
-    for k, w in enumerate(_WORD.findall(_BULLET.sub("", par))):
-        if k and w[:1].isupper():
-            hashes.append(0)
-            long_.append(False)
-            continue
-        if (got := _KNOWN.get(w)) is None:
-            stem = _stem(w)
-            got = _KNOWN[w] = (xxhash.xxh3_64_intdigest(stem) | 1 if stem else 0, len(stem) > 2)
-        hashes.append(got[0])
-        long_.append(got[1])
-    h = np.array(hashes, np.uint64)
+    hashes, long_, size = [], [], []
+    for par in pars:
+        words = _WORD.findall(_BULLET.sub("", par))
+        size.append(len(words))
+        for k, w in enumerate(words):
+            if k and w[:1].isupper():
+                hashes.append(0)
+                long_.append(False)
+                continue
+            if (got := _KNOWN.get(w)) is None:
+                stem = _stem(w)
+                got = _KNOWN[w] = (xxhash.xxh3_64_intdigest(stem) | 1 if stem else 0, len(stem) > 2)
+            hashes.append(got[0])
+            long_.append(got[1])
+    h, owner, single = np.array(hashes, np.uint64), np.repeat(np.arange(len(pars)), size), np.array(long_, bool)
+    both = (h[:-1] != 0) & (h[1:] != 0) & (owner[:-1] == owner[1:])
     with np.errstate(over="ignore"):
-        pairs = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[(h[:-1] != 0) & (h[1:] != 0)]
-    return np.unique(np.concatenate([mix64(h[np.array(long_, bool)]), pairs]) & np.uint64((1 << BITS) - 1)).astype(np.int32)
+        value = mix64(np.concatenate([h[single], (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[both]])) & np.uint64((1 << BITS) - 1)
+    key = np.sort((np.concatenate([owner[single], owner[:-1][both]]) << BITS) | value.astype(np.int64))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return np.split((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(1, len(pars)))) if pars else []
 
 
 @dataclass
@@ -207,7 +222,8 @@ def fit_areas(spark: SparkSession, samples: list[tuple[str, str]], texts: list[t
     """
     names = sorted({a for a, _ in samples})
     at = {a: k for k, a in enumerate(names)}
-    known = [(i, at[a], features(s)) for i, (a, t) in enumerate(samples) for s in _sentences(t)]
+    said = [(i, at[a], s) for i, (a, t) in enumerate(samples) for s in _sentences(t)]
+    known = [(i, a, r) for (i, a, _), r in zip(said, features([s for _, _, s in said]))]
     train = [k for k in known if k[0] % 4]
     held = [(a, r) for i, a, r in known if not i % 4 and len(r)]
     eye = np.eye(len(names), dtype=np.float32)
@@ -264,8 +280,8 @@ def assign_areas(docs: DataFrame, samples: DataFrame, share: float = SHARE) -> D
 
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [(features(t or ""), [features(p) for p in paragraphs(c, t)]) for t, c in zip((t if isinstance(t, str) else None for t in f["title"]), f["content"])]
-            yield pd.DataFrame({"title": [t for t, _ in got], "paragraphs": [ps for _, ps in got]})
+            got = [features([t or "", *paragraphs(c, t)]) for t, c in zip((t if isinstance(t, str) else None for t in f["title"]), f["content"])]
+            yield pd.DataFrame({"title": [x[0] for x in got], "paragraphs": [x[1:] for x in got]})
 
     some = src.orderBy(F.xxhash64("ord")).limit(SAMPLE_ROWS).repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(seen, "title array<int>, paragraphs array<array<int>>").toPandas()
     own = [(np.asarray(t, np.int32), [np.asarray(p, np.int32) for p in ps]) for t, ps in zip(some["title"], some["paragraphs"])]
@@ -275,12 +291,12 @@ def assign_areas(docs: DataFrame, samples: DataFrame, share: float = SHARE) -> D
         m = model.value
         for f in frames:
             out = []
-            rows, owner = [], []
+            pars, owner = [], []
             for k, (t, c) in enumerate(zip(f["title"], f["content"])):
-                ps = [features(p) for p in paragraphs(c, t if isinstance(t, str) else None)]
-                rows += ps
+                ps = paragraphs(c, t if isinstance(t, str) else None)
+                pars += ps
                 owner += [k] * len(ps)
-            got = m.areas(rows)
+            got = m.areas(features(pars))
             counts, subject = np.zeros((len(f), len(m.names)), int), np.zeros(len(f), int)
             own = np.array(owner, int)
             np.add.at(counts, own, got.astype(int))
