@@ -137,9 +137,11 @@ def linked(rows: DataFrame, least: float = 0.6, n: int = 3) -> Found:
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * rows.count()).bit_length()))
     texts = rows.where("text IS NOT NULL").select("id", "text", "side")
     named = materialize(texts.select("id", "text").mapInPandas(lambda frames: _named(frames, n, bits), f"id {kind}, class bigint, size bigint, " + ", ".join(f"{m} bigint" for m in _MAP)), "named")
-    got = named.where("id IS NULL").groupBy("class").agg(F.sum("size").alias("n")).toPandas()  # at most 2 ** bits numbers
+    got = named.where("id IS NULL").groupBy("class").agg(F.sum("size").alias("n"))
+    got = got.select(F.col("class").cast("int").alias("k"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most 2 ** bits numbers
     rare = np.zeros(1 << bits, np.int32)
-    rare[got["class"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**31 - 1)
+    rare[got["k"].to_numpy()] = got["n"].to_numpy()
+    del got
     counts = spark.sparkContext.broadcast((rare, bits))
     sides = {}
 
