@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.llm import angle_join as A
 from citeloom.llm import cross_split as C
 from citeloom.llm import near_duplicates as N
 from citeloom.llm import similar_vectors as V
@@ -73,6 +74,72 @@ def test_nearest_in_many_shards(spark):
     assert len(got & want) >= 0.99 * len(want)
 
 
+def families(n, dim=128, seed=6):
+    """Families of about 6 of cosines from 0.7, far from one another; ids in no order."""
+    r = np.random.default_rng(seed)
+    m = r.normal(size=(max(1, n // 6), dim))[r.integers(0, max(1, n // 6), n)] + r.uniform(0.1, 0.6, (n, 1)) * r.normal(size=(n, dim))
+    return r.permutation(n) * 7, m.astype(np.float32)
+
+
+def test_shared_pivots_and_sketches_lose_few_pairs_whatever_the_dimension():
+    r = np.random.default_rng(2)
+    for dim, turns in ((16, 1), (128, 1), (300, 1), (128, 2)):
+        x, z = r.normal(size=(2, 3000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = 0.8 * x + 0.6 * z / np.linalg.norm(z, axis=1, keepdims=True)
+        p = A.Pivots(dim, turns)
+        a, b = (p.codes(v.astype(np.float32)) for v in (x, y))
+        assert np.mean([len(np.intersect1d(i, j)) > 0 for i, j in zip(a, b)]) >= 0.997
+        sk = [p.sketches(v.astype(np.float32)) for v in (x, y)]
+        assert (np.bitwise_count(sk[0] ^ sk[1]).sum(1) <= A.most_apart(0.8)).mean() >= 0.999
+
+
+def test_pairs_by_shared_pivots(spark):
+    ids, m = families(2000)
+    m[::5] = m[0]  # a fifth is one vector
+    rows = [(int(k), [float(x) for x in v], "clash") for k, v in zip(ids, m)] + [(90001, None, "x"), (90002, [0.0] * 128, "x"), (90003, [float("nan")] * 128, "x"), (None, [1.0] * 128, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, v array<float>, id string")
+    got = [(r["vec_a"], r["vec_b"]) for r in V.similar_pairs(df, "vec_id", "v", 128, small=100).collect()]
+    want = brute_pairs(ids, m.astype(float), 5, 0.8)
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.999 * len(want)
+
+
+def test_verified_pairs_in_rounds_and_parted_cells(spark, monkeypatch):
+    monkeypatch.setattr(A, "CELL_VECTORS", 50)
+    ids, m = families(600, seed=8)
+    df = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in zip(ids, m)], "id long, v array<float>")
+    marked = A.marks(df, "id", "v", 128)
+    found = A.candidates(marked, 0.8, 1, np.full(256, 600), cell_rows=200)
+    pairs = [tuple(r) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    hub = spark.createDataFrame([(int(min(ids)), int(x)) for x in sorted(ids)[1:]], "a long, b long")
+    parted = A.placed(hub, 600, cell_pairs=100)
+    assert sorted((r["a"], r["b"]) for r in parted.collect()) == sorted((r["a"], r["b"]) for r in hub.collect())
+    near = [A.verified(found, df, "id", "v", 128, 5, 0.8, 600, at_once=k).collect() for k in (70, 10_000)]
+    assert sorted(near[0]) == sorted(near[1])
+    assert {(min(r[0], r[1]), max(r[0], r[1])) for r in near[0]} >= {p for p in brute_pairs(ids, m.astype(float), 5, 0.8) if p in set(pairs)}
+
+
+def test_what_a_vector_of_the_join_sends_does_not_grow_with_the_table(spark):
+    sent = []
+    for n in (700, 5600):
+        ids, m = families(n, seed=3)
+        df = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in zip(ids, m)], "id long, v array<float>")
+        found = A.candidates(A.marks(df, "id", "v", 128), 0.8, 1, np.full(256, n))
+        at = A.placed(found, n).cache()
+        sent.append(at.select("cell", F.explode(F.array("a", "b"))).distinct().count() / n)
+    assert sent[1] <= 1.3 and sent[1] <= 1.15 * sent[0], sent
+
+
+def test_crowded_tables_are_searched_by_trees():
+    r = np.random.default_rng(4)
+    p, x = A.Pivots(128), (r.normal(size=(3000, 128)) * 0.05 + r.normal(size=128)).astype(np.float32)
+    some = pd.DataFrame({"sketch": [v.tobytes() for v in p.sketches(x)], "codes": [v.tobytes() for v in p.codes(x).astype(np.uint16)]})
+    crowd, work, rows = A.foretold(some, 100_000, 0.8, 1)
+    assert crowd > A.CROWD and work > 25_000 and rows.max() > 50_000
+
+
 def sh(t):
     w = re.findall("[a-z0-9]+", t.lower())
     return frozenset(zip(w, w[1:], w[2:]))
