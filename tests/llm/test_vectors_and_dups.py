@@ -111,9 +111,9 @@ def test_verified_pairs_in_rounds_and_parted_cells(spark, monkeypatch):
     df = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in zip(ids, m)], "id long, v array<float>")
     marked = A.marks(df, "id", "v", 128)
     found = A.candidates(marked, 0.8, 1, np.full(256, 600), cell_rows=200)
-    pairs = [tuple(r) for r in found.collect()]
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
     assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
-    hub = spark.createDataFrame([(int(min(ids)), int(x)) for x in sorted(ids)[1:]], "a long, b long")
+    hub = spark.createDataFrame([(int(min(ids)), int(x), True) for x in sorted(ids)[1:]], "a long, b long, near boolean")
     parted = A.placed(hub, 600, cell_pairs=100)
     assert sorted((r["a"], r["b"]) for r in parted.collect()) == sorted((r["a"], r["b"]) for r in hub.collect())
     near = [A.verified(found, df, "id", "v", 128, 5, 0.8, 600, at_once=k).collect() for k in (70, 10_000)]
@@ -251,3 +251,11 @@ def test_a_hot_key_gives_all_pairs_of_different_texts(spark):
     assert copies == {(e, t) for e in [1000 + k for k in range(0, 140, 2)] + [2000] for t in range(1001, 1140, 2)}
     small = spark.createDataFrame([("k", k, "eval" if k < 30 else "train") for k in range(70)], "key string, class long, side string")
     assert {tuple(x) for x in C.same_key(small, cell=100).collect()} == {(a, b) for a in range(30) for b in range(30, 70)}
+
+
+def test_chance_likenesses_do_not_part_families(spark):
+    near = [(f + i, f + j, True) for f in range(1000, 3000, 10) for i in range(6) for j in range(i + 1, 6)]
+    chance = [(k, f + k % 6, False) for k, f in enumerate(range(1000, 3000, 10))]
+    at = A.placed(spark.createDataFrame(near + chance, "a long, b long, near boolean"), 40 * A.CELL_VECTORS).cache()
+    assert at.count() == len(near) + len(chance)
+    assert at.select("cell", F.explode(F.array("a", "b"))).distinct().count() <= 1200 + 2 * len(chance)
